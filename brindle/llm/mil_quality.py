@@ -223,6 +223,11 @@ def score_documents(docs: DataFrame, model: Model | None, score: str = "quality_
     return docs.withColumn(score, run(whole_text(f"`{text}`")))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The same columns; documents that score below least go. All stay where nothing is labelled."""
+    return score_documents(docs, train(docs, labels), "_quality").where(F.col("_quality") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score_documents(docs.select("doc_id", "text"), train(docs, labels), "score")

@@ -51,7 +51,8 @@ class ChunkEncoder:
         split = [_CHUNK.findall(t) for t in texts]
         new = {c for chunks in split for c in chunks if c not in seen}
         # a letter and then one full stop or comma at the chunk's end are always two tokens
-        base = {c: c[:-1].lower() if len(c) > 1 and c[-1] in ends and c[-2].isalpha() and c.isascii() and "<|" not in c else c.lower() if c.isascii() else c for c in new}
+        plain = {c for c in new if c.isascii() and "<|" not in c}
+        base = {c: c if c not in plain else c[:-1].lower() if len(c) > 1 and c[-1] in ends and c[-2].isalpha() else c.lower() for c in new}
         todo = sorted({b for b in base.values() if b not in seen})
         fresh = dict(zip(todo, self._encode(todo), strict=True))
         for c, b in base.items():

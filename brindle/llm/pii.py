@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score. Built-in functions only.
 
 Rules for odd input: a null or empty text has no spans; spans of different kinds may overlap, spans of one kind never do;
-repeated rows each get their own result; an empty table gives an empty result; all other columns are kept, and the
-operator's own column names are prefixed, so columns of the same name are not touched.
+repeated rows each get their own result; an empty table gives an empty result; all other columns are kept, but for a
+column named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ KINDS: dict[str, tuple[str, str, float]] = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "phone|tel|call|mobile|fax", 0.6),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "iban|account|bank|konto|compte|cuenta", 0.6),
     "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "ssn|social security", 0.3),
-    "local_phone": (r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])", "phone|tel|call|mobile|fax", 0.3),
+    "local_phone": (r"(?<![0-9+(])(?<![0-9+)][ .(-])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])", "phone|tel|call|mobile|fax", 0.3),
 }
 #: The kinds whose every checked match counts, whatever stands near it.
 BASE = ("email", "ip", "card", "phone")
@@ -40,7 +40,7 @@ def _mod97(c: Column) -> Column:
     plain = F.regexp_replace(c, " ", "")
     turned = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
     rest = F.aggregate(
-        F.split(turned, "(?!^)"),
+        F.filter(F.split(turned, ""), lambda x: x != ""),
         F.lit(0),
         lambda acc, x: F.when(x.rlike("[0-9]"), (acc * 10 + F.ascii(x) - 48) % 97).otherwise((acc * 100 + F.ascii(x) - 55) % 97).cast("int"),
     )
@@ -52,7 +52,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$")
     if kind == "card":
-        return F.luhn_check(_digits(m))
+        return F.call_function("luhn_check", _digits(m))
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
@@ -75,44 +75,54 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
     return F.when(F.size(found) > 0, placed).otherwise(none)
 
 
-def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds pii_spans: array of (start, end, kind number, name, score), by start and then kind.
+def _checked(k: int, kind: str, body: Column) -> Column:
+    """The spans of one kind that pass its check and score enough."""
+    pattern, words, score = KINDS[kind]
+
+    def scored(x: Column) -> Column:
+        at = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
+        near = F.lower(F.substr(body, at + 1, x["start"] - at))
+        value = F.lit(score) + F.when(near.rlike(rf"\b(?:{words})"), CONTEXT_SCORE).otherwise(0.0)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"), F.lit(kind).alias("name"), value.alias("score"))
+
+    placed = F.filter(_placed(body, pattern, F.col(f"_pii_{kind}")), lambda x: _valid(kind, x["m"]))
+    return F.filter(F.transform(placed, scored), lambda x: x["score"] >= LEAST_SCORE).cast(_SPAN)
+
+
+def find_pii(df: DataFrame, text: str = "text", spans_name: str = "pii_spans") -> DataFrame:
+    """Adds pii_spans (or replaces a column so named): array of (start, end, kind number, name, score), by start and kind.
 
     Positions count code points, ends are exclusive. Every row is one narrow projection: no shuffle, no Python.
     """
-    kept = df.columns
+    kept = [c for c in df.columns if c != spans_name]
     out = df.withColumn("_pii_text", whole_text(text))
     body = F.col("_pii_text")
     for kind, (pattern, _, _) in KINDS.items():
         out = out.withColumn(f"_pii_{kind}", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
-    for k, (kind, (pattern, words, score)) in enumerate(KINDS.items()):
-        placed = F.filter(_placed(body, pattern, F.col(f"_pii_{kind}")), lambda x, kind=kind: _valid(kind, x["m"]))
-
-        def scored(x: Column, k: int = k, kind: str = kind, words: str = words, score: float = score) -> Column:
-            at = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substr(body, at + 1, x["start"] - at))
-            value = F.lit(score) + F.when(near.rlike(rf"\b(?:{words})"), CONTEXT_SCORE).otherwise(0.0)
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"), F.lit(kind).alias("name"), value.alias("score"))
-
-        out = out.withColumn(f"_pii_{kind}", F.filter(F.transform(placed, scored), lambda x: x["score"] >= LEAST_SCORE).cast(_SPAN))
+    for k, kind in enumerate(KINDS):
+        out = out.withColumn(f"_pii_{kind}", _checked(k, kind, body))
     spans = F.sort_array(F.concat(*(F.col(f"_pii_{kind}") for kind in KINDS)))
     # sort_array compares the structs field by field: start first; kinds at one start must go by kind, not by end
     by_kind = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["kind"] != b["kind"], F.when(a["kind"] < b["kind"], -1).otherwise(1)).otherwise(0))
     all_spans = F.when(F.size(spans) > 1, by_kind).otherwise(spans)
-    return out.withColumn("_pii_all", all_spans).select(*(F.col(f"`{c}`") for c in kept), F.col("_pii_all").alias("pii_spans"))
+    return out.withColumn("_pii_all", all_spans).select(*(F.col(f"`{c}`") for c in kept), F.col("_pii_all").alias(spans_name))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter(F.col("base"), lambda x: x["kind"] == kind)).cast("long")
+
+
 def pii_digest(df: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, digest of the base spans, and all spans as text."""
     found = find_pii(df.select("doc_id", "text"))
     base = F.filter(F.col("pii_spans"), lambda x: x["kind"] < len(BASE))
     return found.withColumn("base", base).select(
         "doc_id",
-        *(F.size(F.filter(F.col("base"), lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)),
+        *(_count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.col("pii_spans")).alias("spans"),
     )
@@ -132,6 +142,6 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col("pii_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
-    found = find_pii(df, text)
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(body)).select(*(F.col(f"`{c}`") for c in df.columns))
+    done = F.aggregate(F.col("_pii_found"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
+    found = find_pii(df, text, "_pii_found")
+    return found.withColumn(text, F.when(F.size("_pii_found") > 0, done).otherwise(body)).select(*(F.col(f"`{c}`") for c in df.columns))

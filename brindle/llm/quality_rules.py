@@ -32,33 +32,35 @@ THRESHOLDS: dict[str, tuple[float | None, float | None]] = {
 PLACE_BITS = 22
 
 
-def _repeats(out: DataFrame, slow_from: int) -> DataFrame:
-    """Adds q_repeat_words: how many words stand in a three-word window that occurs twice or more.
+def _repeats(slow_from: int) -> Column:
+    """How many words stand in a three-word window that occurs twice or more.
 
     Windows become 64-bit keys (hash above, place below), sorted; equal neighbours are compared word by word. Should two
     different windows share a hash, or a text be too long for the places, the row is done by sorting the words themselves.
+    Each intermediate array is bound once, as the variable of a lambda over a one-element array: the optimizer may put an
+    expression in the place of a column's name, and inside a lambda that would be computed for every element.
     """
-    at = lambda i: f"(_s[{i}] & {(1 << PLACE_BITS) - 1})"
-    same = " and ".join(f"_w[cast({at('i')} as int) + {k}] = _w[cast({at('i - 1')} as int) + {k}]" for k in range(3))
-    places = ", ".join(f"cast({at(i)} as int) + {k}" for i in ("i", "i - 1") for k in range(3))
-    slow = "array_sort(transform(sequence(0, q_words - 3), i -> struct(_w[cast(i as int)] as a, _w[cast(i as int) + 1] as b, _w[cast(i as int) + 2] as c, i)))"
-    near = "_l[i].a = _l[i - 1].a and _l[i].b = _l[i - 1].b and _l[i].c = _l[i - 1].c"
-    fast = f"q_words between 3 and {slow_from - 1}"
-    key = f"(shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), {PLACE_BITS}) | i)"
-    return (
-        out.withColumn("_s", F.expr(f"case when {fast} then sort_array(transform(sequence(0, cast(q_words as int) - 3), i -> {key})) end"))
-        .withColumn("_d", F.expr(f"case when {fast} and q_words > 3 then filter(sequence(1, cast(q_words as int) - 3), i -> shiftright(_s[i], {PLACE_BITS}) = shiftright(_s[i - 1], {PLACE_BITS})) end"))
-        .withColumn("_c", F.expr(f"q_words >= {slow_from} or coalesce(exists(_d, i -> not ({same})), false)"))
-        .withColumn("_l", F.expr(f"case when _c then {slow} end"))
-        .withColumn("_e", F.expr(f"case when _c then filter(sequence(1, size(_l) - 1), i -> {near}) end"))
-        .withColumn(
-            "q_repeat_words",
-            F.expr(
-                "cast(case when _c then size(array_distinct(flatten(transform(_e, i -> array(_l[i].i, _l[i].i + 1, _l[i].i + 2, _l[i - 1].i, _l[i - 1].i + 1, _l[i - 1].i + 2))))) "
-                f"when size(_d) > 0 then size(array_distinct(flatten(transform(_d, i -> array({places}))))) else 0 end as long)"
-            ),
-        )
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    at = lambda i: f"cast(s[{i}] & {(1 << PLACE_BITS) - 1} as int)"
+    same = " and ".join(f"w[{at('i')} + {k}] = w[{at('i - 1')} + {k}]" for k in range(3))
+    places = ", ".join(f"{at(i)} + {k}" for i in ("i", "i - 1") for k in range(3))
+    all_of = lambda array: f"cast(size(array_distinct(flatten({array}))) as long)"
+    near = "l[i].a = l[i - 1].a and l[i].b = l[i - 1].b and l[i].c = l[i - 1].c"
+    by_words = let(
+        "l",
+        "array_sort(transform(sequence(0, size(w) - 3), i -> struct(w[i] as a, w[i + 1] as b, w[i + 2] as c, i as i)))",
+        all_of(f"transform(filter(sequence(1, greatest(1, size(l) - 1)), i -> i < size(l) and {near}), i -> array(l[i].i, l[i].i + 1, l[i].i + 2, l[i - 1].i, l[i - 1].i + 1, l[i - 1].i + 2))"),
     )
+    by_keys = let(
+        "s",
+        f"sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {PLACE_BITS}) | i))",
+        let(
+            "d",
+            f"filter(sequence(1, greatest(1, size(s) - 1)), i -> i < size(s) and shiftright(s[i], {PLACE_BITS}) = shiftright(s[i - 1], {PLACE_BITS}))",
+            f"case when size(d) = 0 then 0L when exists(d, i -> not ({same})) then {by_words} else {all_of(f'transform(d, i -> array({places}))')} end",
+        ),
+    )
+    return F.expr(let("w", "_w", f"case when size(w) < 3 then 0L when size(w) >= {slow_from} then {by_words} else {by_keys} end"))
 
 
 def measure(df: DataFrame, text: str = "text", slow_from: int = 1 << PLACE_BITS) -> DataFrame:
@@ -73,9 +75,9 @@ def measure(df: DataFrame, text: str = "text", slow_from: int = 1 << PLACE_BITS)
         .withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         .withColumn("q_words", F.size("_w").cast("long"))
     )
-    out = _repeats(out, slow_from)
     out = (
-        out.withColumn("q_word_chars", F.length(F.concat_ws("", F.col("_w"))).cast("long"))
+        out.withColumn("q_repeat_words", _repeats(slow_from))
+        .withColumn("q_word_chars", F.length(F.concat_ws("", F.col("_w"))).cast("long"))
         .withColumn("q_symbols", (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long"))
         .withColumn("q_lines", F.size("_lines").cast("long"))
         .withColumn("q_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))

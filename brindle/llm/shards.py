@@ -75,19 +75,11 @@ def _goes_right(split: Split) -> Column:
     return (d > a) | ((d == a) & ((F.col("fine") > b) | ((F.col("fine") == b) & (F.col("row") >= c))))
 
 
-def _descend(node: Column, splits: dict[int, Split]) -> Column:
-    right = F.lit(False)
-    for k, split in splits.items():
-        right = F.when(node == k, _goes_right(split)).otherwise(right)
-    return (node * 2 + right.cast("int")).cast("int")
-
-
 def grow_tree(pts: DataFrame, shards: int = SHARDS) -> list[dict[int, Split]]:
     """The cuts of every level. pts must have been written: it is read three times a level."""
     levels: list[dict[int, Split]] = []
-    node = F.lit(0)
     for _ in range(shards.bit_length() - 1):
-        at = pts.withColumn("node", node.cast("int"))
+        at = pts.withColumn("node", shard_of(levels))
         dims = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("place")) for d in DIMENSIONS)))
         wide = at.select("node", "size", dims.alias("x")).groupBy("node", "x.d", "x.place").agg(F.sum("size").alias("n")).collect()
         by: dict[int, dict[str, list[tuple[int, int]]]] = {}
@@ -118,16 +110,17 @@ def grow_tree(pts: DataFrame, shards: int = SHARDS) -> list[dict[int, Split]]:
             n = dict(rows)[place]
             cuts[k] = Split(chosen[k][0], (chosen[k][1], fine[k][0], place + (left - before > n / 2)))
         levels.append(cuts)
-        node = _descend(node, cuts)
     return levels
 
 
-def shard_of(levels: list[dict[int, Split]]) -> Column:
-    """The leaf a point falls into."""
-    node = F.lit(0)
-    for cuts in levels:
-        node = _descend(node, cuts)
-    return node
+def shard_of(levels: list[dict[int, Split]], node: int = 0) -> Column:
+    """The node that a point falls into: one decision tree, each cut written once."""
+    if not levels:
+        return F.lit(node)
+    left = shard_of(levels[1:], 2 * node)
+    if node not in levels[0]:
+        return left
+    return F.when(_goes_right(levels[0][node]), shard_of(levels[1:], 2 * node + 1)).otherwise(left)
 
 
 def numbered(df: DataFrame, group: str, key: str, name: str, rows: int) -> DataFrame:
@@ -154,5 +147,5 @@ def shard_documents(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     pts = written(points(df))
     rows = pts.count()
     levels = grow_tree(pts, shards) if rows else []
-    leaf = pts.select("doc_id", "size", "text_crc32", shard_of(levels).cast("int").alias("shard"))
+    leaf = pts.select("doc_id", "size", "text_crc32", shard_of(levels).alias("shard"))
     return numbered(leaf, "shard", "doc_id", "slot", rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
