@@ -22,32 +22,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE_CHARS
+from brindle.llm.common import SPACE_CHARS, written
 
 #: Lines from this many code points on may differ by one edit.
 LEAST_CHARS = 16
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Each line of each distinct document: at (doc, text hash, number), raw, and line (without outer blanks).
+#: Only documents of one doc_id (or none) are told apart by a hash of the text; 40 bits of it do, and shuffle less.
+TEXT_SHIFT = 24
+#: Stands for a null doc_id, which comes before all others.
+NO_ID = -(1 << 63)
 
-    A blank line's key is its place, so it equals no other line.
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """One row per distinct line: its key (two hashes), earliest place and form. docs: _doc, _text, text.
+
+    A blank line's key is its place, so it equals no other line. Only the raw line is shuffled, and only once for each
+    distinct line and task.
     """
     parts = docs.select("_doc", "_text", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    at = F.struct(F.col("_doc").alias("doc"), F.col("_text").alias("text"), F.col("no"))
-    line = F.btrim("raw", F.lit(SPACE_CHARS))
-    return parts.select(at.alias("at"), "raw", line.alias("line")).select("at", "raw", "line", F.when(F.col("line") == "", F.concat_ws(":", F.lit("\n"), F.col("at.doc"), F.col("at.text"), F.col("at.no"))).otherwise(F.col("line")).alias("same"))
+    line = _trimmed("raw")
+    same = F.when(line == "", F.concat_ws(":", F.lit("\n"), "_doc", "_text", "no")).otherwise(line)
+    first = F.min(F.struct(F.struct(F.col("_doc").alias("doc"), F.col("_text").alias("text"), "no").alias("at"), "raw")).alias("x")
+    keyed = parts.withColumn("key", F.struct(F.xxhash64(same).alias("a"), F.xxhash64(F.lit(1), same).alias("b")))
+    return keyed.groupBy("key").agg(first).select("key", "x.at", "x.raw", _trimmed("x.raw").alias("line"))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: its key (two hashes), earliest place and form."""
-    key = F.struct(F.xxhash64("same").alias("a"), F.xxhash64(F.lit(1), F.col("same")).alias("b"))
-    first = F.min(F.struct("at", "raw", "line")).alias("x")
-    return lines.withColumn("key", key).groupBy("key").agg(first).select("key", "x.at", "x.raw", "x.line")
+def _trimmed(c: str) -> Column:
+    return F.btrim(F.col(c), F.lit(SPACE_CHARS))
 
 
 def halves(lines: DataFrame) -> DataFrame:
@@ -57,14 +63,14 @@ def halves(lines: DataFrame) -> DataFrame:
     front = lambda k: F.xxhash64(F.lit("front"), k, F.substring(F.col("line"), F.lit(1), k))
     back = lambda k: F.xxhash64(F.lit("back"), k, F.substr(F.col("line"), n - k + 1, k))
     keys = F.array_distinct(F.array(front(h), front(g), back(n - h), back(n - 1 - g)))
-    return lines.where(n >= LEAST_CHARS).select("key", F.explode(keys).alias("half"))
+    return lines.where(n >= LEAST_CHARS).select(F.col("key.a").alias("a"), F.explode(keys).alias("half"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Keys of the lines that share a half with another line."""
+    """Keys (their first hash) of the lines that share a half with another line."""
     h = halves(distinct)
     shared = h.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    return h.join(shared, "half", "left_semi").select("key").distinct()
+    return h.join(shared, "half", "left_semi").select("a").distinct()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -121,26 +127,33 @@ def earlier_links(v: DataFrame) -> DataFrame:
 
 def dropped_lines(distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that have a near-equal, not equal, line before them."""
-    some = distinct.join(candidates(distinct), "key", "left_semi").select("at", "line")
+    some = written(distinct.join(candidates(distinct), F.col("key.a") == F.col("a"), "left_semi").select("at", "line"))
     pairs = earlier_links(variants(some)).join(some, "at").join(some.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
     return pairs.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("at").distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """at and raw of every line that stays. docs: _doc, _text, text."""
-    distinct = distinct_lines(lines_of(docs))
-    return distinct.select("at", "raw").join(dropped_lines(distinct), "at", "left_anti")
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """_doc, _text and the kept lines of each distinct document that keeps any. docs: _doc, _text, text.
+
+    Lines and the places of dropped lines meet in one shuffle by document.
+    """
+    distinct = distinct_lines(docs)
+    rows = distinct.select("at.*", "raw").unionByName(dropped_lines(distinct).select("at.*", F.lit(None).cast("string").alias("raw")))
+    by_doc = rows.groupBy(F.col("doc").alias("_doc"), F.col("text").alias("_text")).agg(F.collect_list(F.struct("no", "raw")).alias("x"))
+    # a dropped line stands twice: without its text, which sorts first, and with it
+    gone = F.transform(F.filter("x", lambda r: r["raw"].isNull()), lambda r: r["no"])
+    stay = F.when(F.size(gone) == 0, F.col("x")).otherwise(F.filter("x", lambda r: r["raw"].isNotNull() & ~F.array_contains(gone, r["no"])))
+    return by_doc.select("_doc", "_text", F.array_join(F.transform(F.array_sort(stay), lambda r: r["raw"]), "\n").alias("_new"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The same columns, with the kept lines of each text; also n_chars, where there is such a column."""
-    keyed = df.withColumn("_text", F.xxhash64(F.col(f"`{text}`")))
-    docs = keyed.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("_doc"), "_text", F.col(f"`{text}`").alias("text"))
-    lines = kept_lines(docs)
-    whole = lines.groupBy(F.col("at.doc").alias("_d"), F.col("at.text").alias("_x")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at.no", "raw"))), lambda x: x["raw"]), "\n").alias("_new"))
-    old = keyed.select(*(F.col(f"`{c}`") if c != text else F.when(F.col(f"`{text}`").isNotNull(), F.lit("")).alias(text) for c in df.columns), "_text")
-    out = old.join(whole, F.col(f"`{doc_id}`").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_x")), "left")
-    new = F.coalesce(F.col("_new"), F.col(f"`{text}`"))
+    body = F.col(f"`{text}`")
+    keyed = df.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("_doc"), F.shiftrightunsigned(F.xxhash64(body), TEXT_SHIFT).alias("_text"))
+    docs = keyed.where(body.isNotNull()).select("_doc", "_text", body.alias("text"))
+    old = keyed.select(*(F.col(f"`{c}`") if c != text else F.when(body.isNotNull(), F.lit("")).alias(text) for c in df.columns), "_doc", "_text")
+    out = old.join(kept_texts(docs), ["_doc", "_text"], "left")
+    new = F.coalesce(F.col("_new"), body)
     return out.select(*(new.alias(c) if c == text else F.length(new).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns))
 
 
