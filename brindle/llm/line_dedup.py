@@ -38,18 +38,21 @@ TEXT_SHIFT = 24
 NO_ID = -(1 << 63)
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: its key (two hashes), earliest place and form. docs: _doc, _text, text.
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """key (two hashes), at and raw of every line. docs: _doc, _text, text.
 
-    A blank line's key is its place, so it equals no other line. Only the raw line is shuffled, and only once for each
-    distinct line and task.
+    A blank line's key is its place, so it equals no other line.
     """
     parts = docs.select("_doc", "_text", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     line = _trimmed("raw")
     same = F.when(line == "", F.concat_ws(":", F.lit("\n"), "_doc", "_text", "no")).otherwise(line)
-    first = F.min(F.struct(F.struct(F.col("_doc").alias("doc"), F.col("_text").alias("text"), "no").alias("at"), "raw")).alias("x")
-    keyed = parts.withColumn("key", F.struct(F.xxhash64(same).alias("a"), F.xxhash64(F.lit(1), same).alias("b")))
-    return keyed.groupBy("key").agg(first).select("key", "x.at", "x.raw", _trimmed("x.raw").alias("line"))
+    key = F.struct(F.xxhash64(same).alias("a"), F.xxhash64(F.lit(1), same).alias("b"))
+    return parts.select(key.alias("key"), F.struct(F.col("_doc").alias("doc"), F.col("_text").alias("text"), "no").alias("at"), "raw")
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """One row per distinct line: its key, earliest place and form. The raw line is shuffled once for each key and task."""
+    return keyed_lines(docs).groupBy("key").agg(F.min(F.struct("at", "raw")).alias("x")).select("key", "x.at", "x.raw", _trimmed("x.raw").alias("line"))
 
 
 def _trimmed(c: str) -> Column:
@@ -132,18 +135,15 @@ def dropped_lines(distinct: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("at").distinct()
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """_doc, _text and the kept lines of each distinct document that keeps any. docs: _doc, _text, text.
+def kept_places(docs: DataFrame) -> DataFrame:
+    """_doc, _text and the numbers of the kept lines of each distinct document that keeps any. docs: _doc, _text, text.
 
-    Lines and the places of dropped lines meet in one shuffle by document.
+    Only keys and places are shuffled, no text.
     """
-    distinct = distinct_lines(docs)
-    rows = distinct.select("at.*", "raw").unionByName(dropped_lines(distinct).select("at.*", F.lit(None).cast("string").alias("raw")))
-    by_doc = rows.groupBy(F.col("doc").alias("_doc"), F.col("text").alias("_text")).agg(F.collect_list(F.struct("no", "raw")).alias("x"))
-    # a dropped line stands twice: without its text, which sorts first, and with it
-    gone = F.transform(F.filter("x", lambda r: r["raw"].isNull()), lambda r: r["no"])
-    stay = F.when(F.size(gone) == 0, F.col("x")).otherwise(F.filter("x", lambda r: r["raw"].isNotNull() & ~F.array_contains(gone, r["no"])))
-    return by_doc.select("_doc", "_text", F.array_join(F.transform(F.array_sort(stay), lambda r: r["raw"]), "\n").alias("_new"))
+    first = keyed_lines(docs).groupBy("key").agg(F.min("at").alias("at")).select("at.*", F.lit(False).alias("gone"))
+    rows = first.unionByName(dropped_lines(distinct_lines(docs)).select("at.*", F.lit(True).alias("gone")))
+    stays = rows.groupBy("doc", "text", "no").agg(F.max("gone").alias("gone")).where("not gone")
+    return stays.groupBy(F.col("doc").alias("_doc"), F.col("text").alias("_text")).agg(F.sort_array(F.collect_list("no")).alias("_kept"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,9 +151,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     body = F.col(f"`{text}`")
     keyed = df.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("_doc"), F.shiftrightunsigned(F.xxhash64(body), TEXT_SHIFT).alias("_text"))
     docs = keyed.where(body.isNotNull()).select("_doc", "_text", body.alias("text"))
-    old = keyed.select(*(F.col(f"`{c}`") if c != text else F.when(body.isNotNull(), F.lit("")).alias(text) for c in df.columns), "_doc", "_text")
-    out = old.join(kept_texts(docs), ["_doc", "_text"], "left")
-    new = F.coalesce(F.col("_new"), body)
+    out = keyed.join(kept_places(docs), ["_doc", "_text"], "left")
+    # the lines are bound once, as a lambda's variable, and then picked by number
+    picked = F.transform(F.array(F.split(body, "\n", -1)), lambda lines: F.transform(F.col("_kept"), lambda i: F.get(lines, i)))[0]
+    new = F.when(F.col("_kept").isNotNull(), F.array_join(picked, "\n")).when(body.isNotNull(), F.lit(""))
     return out.select(*(new.alias(c) if c == text else F.length(new).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns))
 
 
