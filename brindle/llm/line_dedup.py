@@ -88,8 +88,8 @@ def variant_keys(line: str, powers: np.ndarray) -> tuple[int, np.ndarray]:
     n = len(codes)
     before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:n], dtype=np.uint64)])
     shifted = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[1:] * powers[: n - 1], dtype=np.uint64)])
-    whole = _mix(before[n : n + 1] + np.uint64(n) * _MULTIPLIER)[0]
-    return int(whole.view(np.int64)), _mix(before[:n] + shifted[n - 1] - shifted + np.uint64(n - 1) * _MULTIPLIER).view(np.int64)
+    whole = _mix(before[n : n + 1] + np.array([n], np.uint64) * _MULTIPLIER)[0]
+    return int(whole.view(np.int64)), _mix(before[:n] + shifted[n - 1] - shifted + np.array([n - 1], np.uint64) * _MULTIPLIER).view(np.int64)
 
 
 def variants(lines: DataFrame) -> DataFrame:
