@@ -25,8 +25,8 @@ from brindle.llm.common import batches_of_bytes, whole_text
 PASSAGE, TRAIN_DOCUMENTS, WORD_BINS = 1024, 6000, 64
 #: Size of an encoded passage, steps of learning, pull towards zero, seed.
 HIDDEN, STEPS, DECAY, SEED = 24, 300, 1e-3, 11
-#: Bytes handled at once in a task.
-CHUNK_BYTES = 1 << 21
+#: Characters handled at once in a task (a longer text stands alone); arrays take some 65 bytes for each byte.
+CHUNK_BYTES = 1 << 18
 
 _KIND = np.full(256, 8, np.uint8)  # other ASCII signs
 _KIND[ord("a") : ord("z") + 1] = 0
@@ -195,9 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                x, owner = passages(part.column("text").to_pylist())
+            texts = whole.column("text").to_pylist()
+            for lo, hi in batches_of_bytes([len(t) for t in texts], CHUNK_BYTES):
+                part = whole.slice(lo, hi - lo)
+                x, owner = passages(texts[lo:hi])
                 bags = [x[owner == k].tobytes() for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_q"), pa.array(bags, pa.binary())], names=["doc_id", "_q", "x"])
 
