@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import written
+from brindle.llm.common import batches_of_bytes, written
 
 #: Tokens in a sequence, open bins of a task, and pieces that a task packs (fewer bins stay half empty with more pieces).
 SEQUENCE, OPEN_BINS, PIECES_A_TASK = 2048, 2048, 20_000
+#: Characters encoded at once in a task; a longer text stands alone.
+CHUNK_BYTES = 1 << 19
 #: The id that closes each document.
 CLOSING = (0).to_bytes(4, "little")
 #: Most chunks that a task remembers, and the longest one it does.
@@ -77,10 +79,11 @@ def token_pieces(df: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(tokenizer_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            texts = [t or "" for t in whole.column("text").to_pylist()]
+            for lo, hi in batches_of_bytes([len(t) for t in texts], CHUNK_BYTES):
+                batch = whole.slice(lo, hi - lo)
                 rows: list[tuple] = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts[lo:hi]), strict=True):
                     ids += CLOSING
                     step, view = 4 * sequence, memoryview(ids)
                     for k, i in enumerate(range(0, len(ids), step)):
