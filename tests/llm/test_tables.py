@@ -90,6 +90,50 @@ def test_unmarked_boilerplate_goes(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def repeated_tokens(rows):
+    """For each (host, blocks): how many tokens lie in runs that enough distinct pages of the host hold. Plain Python."""
+    streams = [(host, ["\n", *(w for b in blocks for w in (*b.split(" "), "\n"))]) for host, blocks in rows]
+    holders = defaultdict(set)
+    for host, s in streams:
+        for i in range(len(s) - html_text.RUN + 1):
+            holders[(host, *s[i : i + html_text.RUN])].add(tuple(s))
+    out = []
+    for host, s in streams:
+        inside = set()
+        for i in range(len(s) - html_text.RUN + 1):
+            if len(holders[(host, *s[i : i + html_text.RUN])]) >= html_text.PAGES_ALIKE:
+                inside.update(range(i, i + html_text.RUN))
+        out.append(len(inside))
+    return out
+
+
+@pytest.mark.parametrize("sent", [html_text.SENT_BYTES, 0])
+def test_runs_are_counted_over_all_chunks(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_text, "SENT_BYTES", sent)
+    monkeypatch.setattr(html_text, "CHUNK_CHARS", 3000)
+    notice, other = "we and our partners use small files to make this site work for you", "all of these words stand here on two pages only and so they stay"
+    story = lambda i: f"story {i} tells of number {i * 7919} and nothing else at all"
+    # a hot host of 513 pages, hosts of 3 pages far apart, and a host where only equal pages share the text
+    pages = [(i, f"http://hot.example/{i}", f"<div>{notice}</div><p>{story(i)}</p>") for i in range(513)]
+    pages += [(1000 + i, f"http://few{i % 200}.example/{i}", f"<p>{notice}</p><p>{story(i)}</p><i>{'long ' * 40}</i>") for i in range(600)]
+    pages += [(700 + i, f"http://equal.example/{i}", f"<p>{other}</p><p>{story(i % 2)}</p>") for i in range(40)]
+    pages += [(800, "http://big.example/", f"<p>{notice}</p>" + "<p>one more</p>" * 800)]
+    pages = [p for k in range(7) for p in pages[k::7]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(pages, 5), "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.extract_text(df).collect()}
+    assert len(got) == len(pages) and all(got[i]["main_text"] == story(i) for i in range(513))
+    assert all(notice not in got[1000 + i]["main_text"] for i in range(600)) and all(other in got[700 + i]["main_text"] for i in range(40)) and notice in got[800]["main_text"]
+    want = repeated_tokens([(u, html_text.root_blocks(html_text.blocks_of(h))[1]) for u, h in ((u.split("/")[2], h) for _, u, h in pages)])
+    assert [got[p[0]]["repeated_tokens"] for p in pages] == want
+
+
+def test_repeated_tokens_of_the_query(spark):
+    sf = "/root/testdata/sf0.1"
+    pages = table(spark, sf, "pages").select("page_id", "html", html_text.host_of().alias("host")).collect()
+    want = Counter(zip((r["page_id"] for r in pages), repeated_tokens([(r["host"], html_text.root_blocks(html_text.blocks_of(r["html"] or ""))[1]) for r in pages]), strict=True))
+    assert Counter((r["page_id"], r["repeated_tokens"]) for r in op9_html(spark, sf).collect()) == want
+
+
 def test_html_query(spark, sf):
     rows = op9_html(spark, sf).collect()
     assert len(rows) == table(spark, sf, "pages").count() and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
