@@ -1,10 +1,13 @@
 """K-d tree sharding: recursive splits at distributed weighted medians along the widest metadata dimension.
 
-Each row is a point (language, source, size, text hash). Every level of the tree halves all its nodes at once: one
-histogram per node and dimension gives the widest dimension and the slice its weighted median falls into; two finer
-histograms, of the text hash and of a hash of doc_id, place the cut inside that slice. So equal values are cut only where
-they must be, equal texts stay together except where the cut runs through them, and one value that holds a third of all
-bytes still splits evenly. Only histograms of a fixed number of slices come to the driver.
+Each row is a point (language, source, size). Languages and sources are ordered by name, sizes by their logarithm, and each
+dimension is scaled so that all rows together span 0 to 1; the widest dimension of a node is the one with the largest
+deviation of its bytes. Every level of the tree halves all its nodes at once: one histogram per node and dimension gives the
+widest dimension and the slice its weighted median falls into; two finer histograms, of the text hash and of a hash of
+doc_id, place the cut inside that slice. So equal values are cut only where they must be, equal texts stay together except
+where the cut runs through them, and one value that holds a third of all bytes still splits evenly. Only histograms of a
+fixed number of slices come to the driver. A dimension with over SLICES // 2 - 1 names is sliced at those with most bytes
+and at a sample of the others; neighbours between two such names share a slice.
 
 Rules for odd input: a null text has size 1 and the checksum of the empty text; null metadata is a value of its own;
 repeated rows get slots of their own; an empty table gives an empty result; other columns are not read.
@@ -12,16 +15,20 @@ repeated rows get slots of their own; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import whole_text, written
 
 #: Number of shards (a power of two), slices of a histogram, and rows that one counting task numbers.
 SHARDS, SLICES, ROWS_A_BLOCK = 16, 4096, 50_000
-DIMENSIONS = ("lang", "source", "log_size", "hash")
+DIMENSIONS, NAMES = ("lang", "source", "log_size"), ("lang", "source")
 
 
 @dataclass
@@ -32,21 +39,38 @@ class Split:
     at: tuple[int, int, int]
 
 
-def _slice_of(c: Column) -> Column:
-    """A value's slice, by its hash."""
-    return F.coalesce(F.pmod(F.xxhash64(c), F.lit(SLICES)), F.lit(0)).cast("int")
+def _edges(df: DataFrame, name: str) -> list[str]:
+    """Values at which slices of a named dimension begin, in order: all values if they are few enough."""
+    values = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("size").alias("n"))
+    half = SLICES // 2 - 1
+    heavy = values.orderBy(F.desc("n"), name).limit(half).collect()
+    others = values.orderBy(F.xxhash64(name), name).limit(half).collect() if len(heavy) == half else []
+    return sorted({r[name] for r in (*heavy, *others)})
 
 
 def points(df: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the coordinates, each a slice number."""
+    """doc_id, size, text_crc32 and the coordinates, each a slice number; the slices of names are in the names' order."""
     text = whole_text().cast("binary")
     size = (F.octet_length(text) + 1).cast("long")
     crc = F.crc32(text)
     has = set(df.columns)
-    return df.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *(_slice_of(F.col(c) if c in has else F.lit(None).cast("string")).alias(c) for c in ("lang", "source"))).select(
+    named = written(df.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *((F.col(c) if c in has else F.lit(None)).cast("string").alias(c) for c in NAMES)))
+    edges = {c: _edges(named, c) for c in NAMES}
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for c in NAMES:
+                coded = columns[c].dictionary_encode()
+                # null is a slice of its own, before all others
+                places = pa.array([1 + bisect_right(edges[c], v) for v in coded.dictionary.to_pylist()], pa.int32())
+                columns[c] = places.take(coded.indices).fill_null(0)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = T.StructType([T.StructField(f.name, T.IntegerType()) if f.name in NAMES else f for f in named.schema])
+    return named.mapInArrow(sliced, schema).select(
         "*",
         F.least(F.floor(F.log2("size") * (SLICES // 40)), F.lit(SLICES - 1)).cast("int").alias("log_size"),
-        F.pmod(F.xxhash64("text_crc32", F.lit(1)), F.lit(SLICES)).cast("int").alias("hash"),
         F.pmod(F.xxhash64("text_crc32", "size", F.lit(2)), F.lit(SLICES)).cast("int").alias("fine"),
         F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES)).cast("int").alias("row"),
     )
@@ -63,10 +87,18 @@ def _cut(rows: list[tuple[int, int]], below: float) -> tuple[int, float]:
     return rows[-1][0], done - rows[-1][1]
 
 
-def _spread(rows: list[tuple[int, int]]) -> float:
-    """How wide a dimension is: the chance that two bytes lie in different slices, but none if all lie in one."""
+def _scale(dimension: str, places: set[int]) -> dict[int, float]:
+    """The slices of all rows as numbers from 0 to 1: names by their rank, sizes as they are."""
+    rows = sorted(places)
+    values = range(len(rows)) if dimension in NAMES else [p - rows[0] for p in rows]
+    return {p: v / max(1, values[-1]) for p, v in zip(rows, values, strict=True)}
+
+
+def _spread(rows: list[tuple[int, int]], scale: dict[int, float]) -> float:
+    """How wide a node is in a dimension: the standard deviation of its bytes."""
     total = sum(n for _, n in rows)
-    return 1.0 - sum((n / total) ** 2 for _, n in rows) if total else 0.0
+    mean = sum(scale[p] * n for p, n in rows) / total
+    return (sum((scale[p] - mean) ** 2 * n for p, n in rows) / total) ** 0.5
 
 
 def _goes_right(split: Split) -> Column:
@@ -78,6 +110,7 @@ def _goes_right(split: Split) -> Column:
 def grow_tree(pts: DataFrame, shards: int = SHARDS) -> list[dict[int, Split]]:
     """The cuts of every level. pts must have been written: it is read three times a level."""
     levels: list[dict[int, Split]] = []
+    scales: dict[str, dict[int, float]] = {}
     for _ in range(shards.bit_length() - 1):
         at = pts.withColumn("node", shard_of(levels))
         dims = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("place")) for d in DIMENSIONS)))
@@ -85,9 +118,10 @@ def grow_tree(pts: DataFrame, shards: int = SHARDS) -> list[dict[int, Split]]:
         by: dict[int, dict[str, list[tuple[int, int]]]] = {}
         for r in wide:
             by.setdefault(r["node"], {}).setdefault(r["d"], []).append((r["place"], r["n"]))
+        scales = scales or {d: _scale(d, {p for dims_of in by.values() for p, _ in dims_of[d]}) for d in DIMENSIONS}
         chosen: dict[int, tuple[str, int, float]] = {}
         for k, dims_of in by.items():
-            d = max(DIMENSIONS, key=lambda d: (_spread(dims_of[d]), d))
+            d = max(DIMENSIONS, key=lambda d: (_spread(dims_of[d], scales[d]), d))
             place, before = _cut(dims_of[d], sum(n for _, n in dims_of[d]) / 2)
             chosen[k] = (d, place, sum(n for _, n in dims_of[d]) / 2 - before)
 

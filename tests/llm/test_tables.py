@@ -57,6 +57,28 @@ def test_shards(spark, sf, docs):
     assert shards.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_shards_are_cut_along_the_widest_dimension(spark):
+    # deviations at the root: lang 0.5, source 0.37, log_size 0.2; below the cuts of lang and source: 0, 0.17, 0.2
+    places = [(lang, source, k, i) for lang in "pq" for source in "abcd" for k in range(6, 14) for i in range(20)]
+    rows = [(n, f"{n:05d}".ljust(2**k - 1, "x"), lang, source) for n, (lang, source, k, _) in enumerate(places)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = shards.grow_tree(shards.written(shards.points(df)))
+    assert [{s.dimension for s in cuts.values()} for cuts in levels] == [{"lang"}, {"source"}, {"log_size"}, {"source", "log_size"}]
+    held = defaultdict(set)
+    for r in shards.shard_documents(df).join(df, "doc_id").collect():
+        held[r["shard"]].add((r["lang"], r["source"] in "ab"))
+    assert len(held) == 16 and all(len(kinds) == 1 for kinds in held.values())
+
+
+def test_shards_of_many_sources_keep_their_order(spark):
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("same length").alias("text"), F.lit("en").alias("lang"), F.format_string("s%05d", "id").alias("source"))
+    found = {r["doc_id"]: r["source"] for r in shards.points(df).collect()}
+    assert all(found[i] <= found[i + 1] for i in range(9999)) and 3000 < len(set(found.values())) <= shards.SLICES
+    firsts = sorted((min(ids), max(ids)) for ids in shards.shard_documents(df).groupBy("shard").agg(F.collect_list("doc_id").alias("ids")).toPandas()["ids"])
+    widest = max(Counter(found.values()).values())  # neighbours that share a slice may be cut anywhere
+    assert len(firsts) == 16 and widest < 100 and all(high < low + widest for (_, high), (low, _) in zip(firsts, firsts[1:], strict=False))
+
+
 def test_html_blocks():
     blocks = html_text.blocks_of
     assert blocks('<p>a<p class="ad">x<p>b</p><div id="cookieNotice">z</div><nav>m</nav>c &lt; d<br>e') == [(0, "a"), (0, "b"), (0, "c < d e")]
