@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Words of two letters or more, after lower().
 WORD = r"[a-z]{2,}"
+#: Codes, words and numbers, after lower(); runs of ideographs; codes that must match exactly, after lower().
+TOKEN = r"[a-z]+[0-9]+[a-z0-9-]*|[a-z]{2,}|[0-9]+(?:\.[0-9]+)?"
+IDEOGRAPHS = r"[一-鿿]+"
+EXACT = r"\b[a-z]+[0-9]+[a-z0-9-]*\b"
 #: One to three capitals, an optional separator, two or three digits.
 CODE = r"\b[A-Z]{1,3}[_-]?[0-9]{2,3}\b"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
@@ -18,11 +22,29 @@ def all_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
+def words(text: Column) -> Column:
     """Distinct words of a text in order of first occurrence."""
     return F.array_distinct(all_of(F.lower(text), WORD))
 
 
+def tokens(text: Column) -> Column:
+    """Distinct codes, words, numbers, pairs of neighbouring ideographs, and whole runs of four ideographs or fewer."""
+    runs = all_of(text, IDEOGRAPHS)
+    pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(all_of(F.lower(text), TOKEN), pairs, F.filter(runs, lambda r: F.length(r) <= 4)))
+
+
+def exact_tokens(text: Column) -> Column:
+    """Distinct tokens that are codes: letters with digits after them."""
+    return F.array_distinct(all_of(F.lower(text), EXACT))
+
+
+def exact_codes(text: Column) -> Column:
+    """Distinct codes of either form: those of codes(), and the other tokens that are codes, as they stand."""
+    other = F.filter(exact_tokens(text), lambda c: ~F.upper(c).rlike(f"^{CODE}$"))
+    return F.concat(codes(text), other)
+
+
 def codes(text: Column) -> Column:
     """Distinct identifier codes, upper case, without separators."""
     return F.array_distinct(F.transform(all_of(F.upper(text), CODE), lambda c: F.regexp_replace(c, "[_-]", "")))

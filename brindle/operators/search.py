@@ -1,12 +1,15 @@
 """Batch retrieval: many queries at once against a corpus.
 
-A corpus has (id, group, text); queries have (query_id, text). Postings are written once and read by every step. The
+A corpus has (id, group, text); queries have (query_id, text). A lexical hit shares two tokens with the query, or a code;
+each shared code adds to its score. Tokens are codes, words, numbers and ideographs unless another function is given. Postings are written once and read by every step. The
 query side of the joins is a stated query set; Spark broadcasts it only below its own size limit and shuffles otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
@@ -15,18 +18,29 @@ from brindle.sources.tables import materialised
 
 #: Saturation and length weight of the score, ranks kept of each list, rank offset of the fusion.
 K1, B, TOP, RANK_OFFSET = 1.5, 0.75, 20, 60
+#: Added for each code that query and document share, by BM25 and by overlap.
+CODE_BM25, CODE_OVERLAP = 3.0, 2.5
 #: Added to a group for each further hit, at most, and the least fused score of a result.
 COVERAGE, MOST_COVERAGE, LEAST_SCORE = 0.002, 0.006, 0.012
 
 
-def postings(corpus: DataFrame) -> DataFrame:
+Tokens = Callable[[Column], Column]
+
+
+def postings(corpus: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
     """token, id and dl (distinct tokens of the text)."""
-    tok = corpus.select("id", T.tokens(F.col("text")).alias("t"))
+    tok = corpus.select("id", tokens(F.col("text")).alias("t"))
     return tok.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("token"))
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+def query_tokens(queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
+
+
+def shared_codes(corpus: DataFrame, queries: DataFrame, asked: Tokens, held: Tokens) -> DataFrame:
+    """query_id, id and n_codes of the pairs that share a code."""
+    codes = queries.select("query_id", F.explode(asked(F.col("text"))).alias("code"))
+    return corpus.select("id", F.explode(held(F.col("text"))).alias("code")).join(codes, "code").groupBy("query_id", "id").agg(F.count("*").alias("n_codes"))
 
 
 def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
@@ -35,26 +49,31 @@ def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, top: int = TOP, tokens: Tokens = T.tokens) -> DataFrame:
     """query_id, id, score, rank. Statistics are those of the given corpus, so filter it first."""
-    post = materialised(postings(corpus))
-    wanted = query_tokens(queries)
+    post = materialised(postings(corpus, tokens))
+    wanted = query_tokens(queries, tokens)
     stats = corpus.agg(F.count("*").alias("n")).crossJoin(post.select("id", "dl").distinct().agg(F.sum("dl").alias("total")))
     hits = post.join(wanted.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("token", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
     term = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    found = hits.join(wanted, "token").join(idf, "token").groupBy("query_id", "id").agg(F.round(F.sum(term), 6).alias("score"), F.count("*").alias("n_matched"))
-    return ranked(found.where("n_matched >= 2").select("query_id", "id", "score"), top)
+    terms = hits.join(wanted, "token").join(idf, "token").select("query_id", "id", term.alias("score"), F.lit(1).alias("n_matched"), F.lit(0).alias("n_codes"))
+    codes = shared_codes(corpus, queries, T.exact_codes, T.exact_codes).select("query_id", "id", (CODE_BM25 * F.col("n_codes")).alias("score"), F.lit(0).alias("n_matched"), "n_codes")
+    found = terms.unionByName(codes).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.sum("n_matched").alias("n_matched"), F.sum("n_codes").alias("n_codes"))
+    return ranked(found.where("n_matched >= 2 or n_codes > 0").select("query_id", "id", "score"), top)
 
 
-def overlap(corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """query_id, id, score, rank by shared tokens: coverage of the query and the logarithm of their number."""
-    wanted = query_tokens(queries)
+def overlap(corpus: DataFrame, queries: DataFrame, top: int = 10, tokens: Tokens = T.tokens) -> DataFrame:
+    """query_id, id, score, rank by shared tokens: coverage of the query, the logarithm of their number, and shared codes."""
+    wanted = query_tokens(queries, tokens)
     size = wanted.groupBy("query_id").agg(F.count("*").alias("n_query"))
-    shared = postings(corpus).join(wanted, "token").groupBy("query_id", "id").agg(F.count("*").alias("shared")).where("shared >= 2")
-    score = F.round(4.0 * F.col("shared") / F.col("n_query") + F.log1p(F.col("shared")), 6)
-    return ranked(shared.join(size, "query_id").select("query_id", "id", score.alias("score")), top)
+    words = postings(corpus, tokens).join(wanted, "token").select("query_id", "id", F.lit(1).alias("shared"), F.lit(0).alias("n_codes"))
+    # a code counts where it is a token of the document
+    codes = shared_codes(corpus, queries, T.exact_tokens, T.tokens).select("query_id", "id", F.lit(0).alias("shared"), "n_codes")
+    shared = words.unionByName(codes).groupBy("query_id", "id").agg(F.sum("shared").alias("shared"), F.sum("n_codes").alias("n_codes")).where("shared >= 2 or n_codes > 0")
+    score = F.round(F.coalesce(4.0 * F.col("shared") / F.col("n_query"), F.lit(0.0)) + CODE_OVERLAP * F.col("n_codes") + F.log1p(F.col("shared")), 6)
+    return ranked(shared.join(size, "query_id", "left").select("query_id", "id", score.alias("score")), top)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:

@@ -35,12 +35,12 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select t as token, count(*) as df from (select unnest({_TOK.format('text')}) as t from documents) group by 1")
 def tok_document_frequency(spark, sf):  # noqa: ANN001, ANN201
-    return S.postings(corpus(spark, sf)).groupBy("token").agg(F.count("*").alias("df"))
+    return S.postings(corpus(spark, sf), T.words).groupBy("token").agg(F.count("*").alias("df"))
 
 
 @query(f"select doc_id as id, len({_TOK.format('text')})::bigint as dl from documents")
 def tok_doc_length(spark, sf):  # noqa: ANN001, ANN201
-    return corpus(spark, sf).select("id", F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
+    return corpus(spark, sf).select("id", F.size(T.words(F.col("text"))).cast("long").alias("dl"))
 
 
 @query(f"select t as token, count(*) as df from (select unnest({_TOK.format('text')}) as t from documents) group by 1 order by 2 desc, 1 limit 20")
@@ -59,7 +59,7 @@ select query_id, id, score, row_number() over (partition by query_id order by sc
 
 @query(_OVERLAP)
 def search_overlap(spark, sf):  # noqa: ANN001, ANN201
-    return S.overlap(corpus(spark, sf), asked(spark, sf))
+    return S.overlap(corpus(spark, sf), asked(spark, sf), tokens=T.words)
 
 
 def _bm25_sql(where: str, top: int = 20) -> str:
@@ -76,12 +76,12 @@ select query_id, id, score, row_number() over (partition by query_id order by sc
 
 @query(_bm25_sql(""))
 def search_bm25_topk(spark, sf):  # noqa: ANN001, ANN201
-    return S.bm25(corpus(spark, sf), asked(spark, sf))
+    return S.bm25(corpus(spark, sf), asked(spark, sf), tokens=T.words)
 
 
 @query(_bm25_sql("where lang = 'en'"))
 def search_bm25_filtered(spark, sf):  # noqa: ANN001, ANN201
-    return S.bm25(corpus(spark, sf).where("lang = 'en'"), asked(spark, sf))
+    return S.bm25(corpus(spark, sf).where("lang = 'en'"), asked(spark, sf), tokens=T.words)
 
 
 _DENSE = """
@@ -214,7 +214,7 @@ select count(*) as n, round(avg(case when hit <= 5 then 1.0::double else 0 end),
 )
 def eval_recall_mrr(spark, sf):  # noqa: ANN001, ANN201
     truth = search_overlap(spark, sf).where("rank = 1").select("query_id", F.col("id").alias("target"))
-    found = S.bm25(corpus(spark, sf), asked(spark, sf), 5).join(truth, "query_id").groupBy("query_id").agg(F.min(F.when(F.col("id") == F.col("target"), F.col("rank"))).alias("hit"))
+    found = S.bm25(corpus(spark, sf), asked(spark, sf), 5, T.words).join(truth, "query_id").groupBy("query_id").agg(F.min(F.when(F.col("id") == F.col("target"), F.col("rank"))).alias("hit"))
     return found.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("hit") <= 5, 1.0).otherwise(0.0)), 6).alias("recall_5"), F.round(F.sum(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))) / F.greatest(F.lit(1), F.count("*")), 6).alias("mrr"))
 
 
