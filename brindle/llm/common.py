@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,10 @@ def batches_of_bytes(sizes: list[int], limit: int) -> list[tuple[int, int]]:
     if start < len(sizes):
         out.append((start, len(sizes)))
     return out
+
+
+def slices_of_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most limit bytes of one column's strings, cut before any of them becomes a Python object."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in batches_of_bytes(sizes.tolist(), limit):
+        yield batch.slice(lo, hi - lo)
