@@ -61,3 +61,11 @@ def slices_of_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for lo, hi in batches_of_bytes(sizes.tolist(), limit):
         yield batch.slice(lo, hi - lo)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
