@@ -1,28 +1,33 @@
 """Batch retrieval: many queries at once against a corpus.
 
-A corpus has (id, group, text); queries have (query_id, text). A lexical hit shares two tokens with the query, or a code;
-each shared code adds to its score. Tokens are codes, words, numbers and ideographs unless another function is given. Postings are written once and read by every step. The
-query side of the joins is a stated query set; Spark broadcasts it only below its own size limit and shuffles otherwise.
+A corpus has id, text and, where known, title, parent_id and code_text (what codes are read from; the text where it is absent);
+queries have query_id, text. A lexical hit shares two tokens with the query, or a code that must match exactly; each shared
+code adds to its score. Statistics are those of the given corpus, so filter it first. Only rows that hold a token of a query
+are shuffled. The queries are a stated set; Spark broadcasts their tokens only below its own size limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import codes as K
+from brindle.functions import scores as S
 from brindle.functions import text as T
-from brindle.functions import vector as V
 from brindle.sources.tables import materialised
 
-#: Saturation and length weight of the score, ranks kept of each list, rank offset of the fusion.
-K1, B, TOP, RANK_OFFSET = 1.5, 0.75, 20, 60
+#: Saturation and length weight of the score, ranks kept of each list, rank offset of the fusion, children given to a reranker.
+K1, B, TOP, RANK_OFFSET, RERANKED = 1.5, 0.75, 20, 60, 12
 #: Added for each code that query and document share, by BM25 and by overlap.
 CODE_BM25, CODE_OVERLAP = 3.0, 2.5
-#: Added to a group for each further hit, at most, and the least fused score of a result.
-COVERAGE, MOST_COVERAGE, LEAST_SCORE = 0.002, 0.006, 0.012
-
+#: Added to a parent for each further hit, at most; for a shared code; a rerank score's weight; the least score of a result.
+COVERAGE, MOST_COVERAGE, EXACT_BONUS, RERANK_WEIGHT, LEAST_SCORE = 0.002, 0.006, 0.012, 0.004, 0.012
+#: Vectors of a block of the dense search, and blocks of queries whose best hits a task holds at once.
+BLOCK, HELD_BLOCKS = 1024, 64
 
 Tokens = Callable[[Column], Column]
 
@@ -37,71 +42,296 @@ def query_tokens(queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
 
 
-def shared_codes(corpus: DataFrame, queries: DataFrame, asked: Tokens, held: Tokens) -> DataFrame:
-    """query_id, id and n_codes of the pairs that share a code."""
-    codes = queries.select("query_id", F.explode(asked(F.col("text"))).alias("code"))
-    return corpus.select("id", F.explode(held(F.col("text"))).alias("code")).join(codes, "code").groupBy("query_id", "id").agg(F.count("*").alias("n_codes"))
-
-
 def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
     """The best ids of each query with their rank; equal scores go by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def _code_text(df: DataFrame) -> Column:
+    return F.col("code_text" if "code_text" in df.columns else "text")
+
+
+def _marked(codes: Column) -> Column:
+    """Codes as terms beside tokens, which never begin with this sign."""
+    return F.transform(codes, lambda c: F.concat(F.lit("="), c))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, top: int = TOP, tokens: Tokens = T.tokens) -> DataFrame:
-    """query_id, id, score, rank. Statistics are those of the given corpus, so filter it first."""
-    post = materialised(postings(corpus, tokens))
-    wanted = query_tokens(queries, tokens)
-    stats = corpus.agg(F.count("*").alias("n")).crossJoin(post.select("id", "dl").distinct().agg(F.sum("dl").alias("total")))
-    hits = post.join(wanted.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("token", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
-    term = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    terms = hits.join(wanted, "token").join(idf, "token").select("query_id", "id", term.alias("score"), F.lit(1).alias("n_matched"), F.lit(0).alias("n_codes"))
-    codes = shared_codes(corpus, queries, T.exact_codes, T.exact_codes).select("query_id", "id", (CODE_BM25 * F.col("n_codes")).alias("score"), F.lit(0).alias("n_matched"), "n_codes")
-    found = terms.unionByName(codes).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"), F.sum("n_matched").alias("n_matched"), F.sum("n_codes").alias("n_codes"))
+    """query_id, id, score, rank."""
+    docs = corpus.select("id", tokens(F.col("text")).alias("t"), K.exact_terms(_code_text(corpus)).alias("c"))
+    stats = docs.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("total"))
+    wanted = queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), _marked(K.exact_terms(F.col("text"))))).alias("term"))
+    terms = docs.select("id", F.size("t").alias("dl"), F.explode(F.concat("t", _marked(F.col("c")))).alias("term"))
+    hits = materialised(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
+    is_code = F.startswith("term", F.lit("="))
+    df = hits.where(~is_code).groupBy("term").agg(F.count("*").alias("df"))
+    weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))  # one row
+    norm = 1 + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl")))
+    score = F.when(is_code, F.lit(CODE_BM25)).otherwise(F.col("idf") * (K1 + 1) / norm)
+    found = hits.join(wanted, "term").join(weights, "term", "left").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"), F.count_if(~is_code).alias("n_matched"), F.count_if(is_code).alias("n_codes"))
     return ranked(found.where("n_matched >= 2 or n_codes > 0").select("query_id", "id", "score"), top)
 
 
-def overlap(corpus: DataFrame, queries: DataFrame, top: int = 10, tokens: Tokens = T.tokens) -> DataFrame:
-    """query_id, id, score, rank by shared tokens: coverage of the query, the logarithm of their number, and shared codes."""
-    wanted = query_tokens(queries, tokens)
-    size = wanted.groupBy("query_id").agg(F.count("*").alias("n_query"))
-    words = postings(corpus, tokens).join(wanted, "token").select("query_id", "id", F.lit(1).alias("shared"), F.lit(0).alias("n_codes"))
-    # a code counts where it is a token of the document
-    codes = shared_codes(corpus, queries, T.exact_tokens, T.tokens).select("query_id", "id", F.lit(0).alias("shared"), "n_codes")
-    shared = words.unionByName(codes).groupBy("query_id", "id").agg(F.sum("shared").alias("shared"), F.sum("n_codes").alias("n_codes")).where("shared >= 2 or n_codes > 0")
-    score = F.round(F.coalesce(4.0 * F.col("shared") / F.col("n_query"), F.lit(0.0)) + CODE_OVERLAP * F.col("n_codes") + F.log1p(F.col("shared")), 6)
-    return ranked(shared.join(size, "query_id", "left").select("query_id", "id", score.alias("score")), top)
+def overlap(corpus: DataFrame, queries: DataFrame, top: int | None = 10, tokens: Tokens = T.tokens) -> DataFrame:
+    """query_id, id, score, rank by shared tokens: coverage of the query, shared codes, shared tokens of the title, and the
+    logarithm of their number. Without top: all hits with their scores not rounded, no rank."""
+    has_title = "title" in corpus.columns
+    body = F.concat_ws(" ", "title", "text") if has_title else F.col("text")
+    codes = F.array_distinct(T.all_of(F.lower(F.col("text")), T.EXACT))
+    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"), F.size(tokens(F.col("text"))).alias("n_query"), codes.alias("codes"))
+    title = F.array_contains(tokens(F.col("title")), F.col("token")) if has_title else F.lit(False)
+    terms = corpus.select("id", *(["title"] if has_title else []), F.explode(tokens(body)).alias("token"))
+    hits = terms.select("id", "token", title.cast("int").alias("in_title")).join(wanted, "token")
+    is_code = F.array_contains("codes", F.col("token"))
+    shared = hits.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.count_if(is_code).alias("n_codes"), F.sum("in_title").alias("n_title"), F.first("n_query").alias("n_query")).where("n >= 2 or n_codes > 0")
+    score = 4.0 * F.col("n") / F.col("n_query") + CODE_OVERLAP * F.col("n_codes") + 0.3 * F.col("n_title") + F.log1p(F.col("n"))
+    scored = shared.select("query_id", "id", score.alias("score"))
+    return ranked(scored.withColumn("score", F.round("score", 6)), top) if top else scored
+
+
+def overlap_parents(corpus: DataFrame, queries: DataFrame, top: int = 5, tokens: Tokens = T.tokens) -> DataFrame:
+    """Parents by overlap: query_id, parent_id, score, confidence, n_children, rank. Each further child adds 0.4, 1.2 at most."""
+    hits = overlap(corpus, queries, None, tokens).join(corpus.select("id", "parent_id"), "id")
+    rows = hits.groupBy("query_id", "parent_id").agg(F.max("score").alias("best"), F.count("*").alias("n_children"))
+    score = F.col("best") + F.least(F.lit(1.2), 0.4 * (F.col("n_children") - 1))
+    out = rows.select("query_id", "parent_id", F.round(score, 4).alias("score"), S.overlap_confidence(score).alias("confidence"), "n_children")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "parent_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """ids and unit vectors (v) of BLOCK rows in one row each; vectors without length go. All vectors have one size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                part = whole.slice(lo, BLOCK)
+                part = part.filter(pa.compute.is_valid(part.column("v")))
+                if not part.num_rows:
+                    continue
+                v = np.asarray(part.column("v").flatten(), np.float64).reshape(part.num_rows, -1)
+                length = np.sqrt((v * v).sum(axis=1))
+                some = length > 0
+                ids = part.column(key).to_numpy(zero_copy_only=False)[some].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([(v[some] / length[some, None]).tobytes()], pa.binary())], names=["ids", "v"])
+
+    return rows.select(key, "v").mapInArrow(run, "ids binary, v binary")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """query_id, id, score, rank by cosine. vectors: id, v; queries: query_id, v (a stated set, against all rows)."""
-    pairs = vectors.crossJoin(queries.select("query_id", F.col("v").alias("q"))).where("id <> query_id")
-    scored = pairs.select("query_id", "id", F.round(F.greatest(F.lit(0.0), V.cosine(F.col("v"), F.col("q"))), 6).alias("score"))
-    return ranked(scored.where("score > 0"), top)
+    """query_id, id, score, rank by cosine. vectors: id, v; queries: query_id, v (a stated set, against all rows, in blocks).
+
+    Both sides are packed into blocks; a task multiplies blocks and keeps the best hits of each query that it meets.
+    """
+    q = _blocks(queries, "query_id").select(F.monotonically_increasing_id().alias("b"), F.col("ids").alias("q_ids"), F.col("v").alias("q"))
+    pairs = _blocks(vectors, "id").crossJoin(q).select("b", "ids", "v", "q_ids", "q")  # blocks of a stated query set
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best columns of each row, by score and then id (rows keep an order of their own)."""
+        if scores.shape[1] <= top:
+            return ids, scores
+        order = np.lexsort((ids, -scores), axis=1)[:, :top]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def flush(b: int) -> pa.RecordBatch:
+            q_ids, ids, scores = held.pop(b)
+            some = scores > 0
+            row = np.repeat(q_ids, some.sum(1))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[some]), pa.array(scores[some])], names=["query_id", "id", "score"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b = batch.column("b")[k].as_py()
+                get = lambda c, kind: np.frombuffer(batch.column(c)[k].as_buffer(), kind)  # noqa: B023, E731
+                ids, q_ids = get("ids", np.int64), get("q_ids", np.int64)
+                if not len(ids) or not len(q_ids):
+                    continue
+                scores = np.round(np.maximum(get("q", np.float64).reshape(len(q_ids), -1) @ get("v", np.float64).reshape(len(ids), -1).T, 0.0), 6)
+                scores[q_ids[:, None] == ids[None, :]] = 0.0
+                all_ids = np.broadcast_to(ids, scores.shape)
+                if scores.shape[1] > 4 * top:  # narrow each row to what may be among its best
+                    least = np.maximum(np.partition(scores, -top, axis=1)[:, -top], 1e-6)
+                    row, col = np.nonzero(scores >= least[:, None])
+                    n = np.bincount(row, minlength=len(scores))
+                    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    few, few_ids = np.zeros((len(scores), max(1, n.max()))), np.full((len(scores), max(1, n.max())), -1, np.int64)
+                    few[row, at], few_ids[row, at] = scores[row, col], ids[col]
+                    all_ids, scores = few_ids, few
+                if b in held:
+                    _, old_ids, old = held[b]
+                    all_ids, scores = np.concatenate([old_ids, all_ids], 1), np.concatenate([old, scores], 1)
+                held[b] = (q_ids, *best(all_ids, scores))
+                if len(held) > HELD_BLOCKS:
+                    yield flush(next(iter(held)))
+        for b in list(held):
+            yield flush(b)
+
+    return ranked(pairs.mapInArrow(run, "query_id long, id long, score double"), top)
 
 
 def fused(lexical: DataFrame, vector: DataFrame, offset: int = RANK_OFFSET) -> DataFrame:
-    """query_id, id, both ranks and the reciprocal-rank score of two ranked lists."""
+    """query_id, id, both ranks and scores, and the reciprocal-rank score of two ranked lists."""
     a = lexical.select("query_id", "id", F.col("rank").alias("lex_rank"), F.col("score").alias("lex_score"))
     b = vector.select("query_id", "id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
     part = lambda c: F.coalesce(1.0 / (offset + F.col(c)), F.lit(0.0))
     return a.join(b, ["query_id", "id"], "full_outer").withColumn("rrf", F.round(part("lex_rank") + part("dense_rank"), 8))
 
 
-def grouped(hits: DataFrame, groups: DataFrame, top: int = 5, least: float = LEAST_SCORE) -> DataFrame:
-    """Best groups (parents) of each query: the best fused score plus a bonus for further hits. groups: id, group."""
-    agg = hits.join(groups, "id").groupBy("query_id", "group").agg(F.max("rrf").alias("best"), F.count("*").alias("n_hits"), F.min("lex_rank").alias("lex_rank"), F.min("dense_rank").alias("dense_rank"), F.min("id").alias("first_id"))
-    bonus = F.least(F.lit(MOST_COVERAGE), COVERAGE * (F.col("n_hits") - 1))
-    scored = agg.withColumn("score", F.round(F.col("best") + bonus, 6)).where(F.col("score") >= least)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "group")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "group", "score", "n_hits", "first_id", "rank")
+def fused_top(hits: DataFrame, top: int = TOP) -> DataFrame:
+    """The best fused hits with their place: by score, then by lexical rank, then by dense rank."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.coalesce("lex_rank", F.lit(1 << 30)), "dense_rank")
+    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def reranked(hits: DataFrame, corpus: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], top: int = RERANKED) -> DataFrame:
+    """Only the first hits, placed anew by a score of query and text (a hook: any column function)."""
+    first = hits.where(F.col("place") <= top).join(corpus.select("id", F.col("text").alias("_t")), "id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    scored = first.withColumn("rerank", score(F.col("_q"), F.col("_t")).cast("double")).drop("_q", "_t")
+    w = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "place")
+    return scored.withColumn("place", F.row_number().over(w))
+
+
+def scored_parents(hits: DataFrame, corpus: DataFrame, queries: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """All parents of placed hits: score and its parts, matched children, page range, assets, over (the threshold) and
+    complete (holds every code of the query over its matched children).
+
+    corpus: id, parent_id, text; optionally code_text, page_start, page_end, asset_ids. The score is rounded before it is
+    held against the threshold.
+    """
+    asked = queries.select("query_id", K.exact_terms(F.col("text")).alias("asked"))
+    extra = [c for c in ("page_start", "page_end", "asset_ids") if c in corpus.columns]
+    held = corpus.select("id", "parent_id", K.exact_terms(_code_text(corpus)).alias("held"), *extra)
+    rows = hits.join(held, "id").join(asked, "query_id")
+    if "rerank" not in hits.columns:
+        rows = rows.withColumn("rerank", F.lit(0.0))
+    child = F.struct("place", "id", *(["asset_ids"] if "asset_ids" in extra else []))
+    more = [F.min(c).alias(c) if c == "page_start" else F.max(c).alias(c) for c in extra if c != "asset_ids"]
+    agg = rows.groupBy("query_id", "parent_id").agg(
+        F.max("rrf").alias("rrf"),
+        F.max("rerank").alias("rerank"),
+        F.coalesce(F.max("lex_score"), F.lit(0.0)).alias("lexical"),
+        F.coalesce(F.max("dense_score"), F.lit(0.0)).alias("dense"),
+        F.count("*").alias("n_hits"),
+        F.min("place").alias("place"),
+        F.array_sort(F.collect_list(child)).alias("matched"),  # at most the hits of one query
+        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"),
+        F.first("asked").alias("asked"),
+        *more,
+    )
+    bonus = F.least(F.lit(MOST_COVERAGE), COVERAGE * (F.col("n_hits") - 1)) + F.when(F.arrays_overlap("asked", "held"), EXACT_BONUS).otherwise(0.0)
+    out = agg.withColumn("score", F.round(F.col("rrf") + bonus + RERANK_WEIGHT * F.col("rerank"), 6))
+    out = out.withColumn("over", F.col("score") >= least).withColumn("complete", F.size(F.array_except("asked", "held")) == 0)
+    if "asset_ids" in extra:
+        out = out.withColumn("asset_ids", F.array_distinct(F.flatten(F.transform("matched", lambda x: x["asset_ids"]))))
+    return out.withColumn("matched", F.transform("matched", lambda x: x["id"])).drop("held", "asked")
+
+
+def parents(scored: DataFrame, top: int = 5) -> DataFrame:
+    """The best complete parents over the threshold with their rank; equal scores go by the place of the best child."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "place")
+    return scored.where("over and complete").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("over", "complete", "place")
+
+
+def explained(corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, rerank: Callable[[Column, Column], Column] | None = None, top: int = 5, least: float = LEAST_SCORE, products: list[str] | None = None, datasets: list[str] | None = None) -> dict[str, DataFrame]:
+    """The whole search: stages lexical, dense, rrf, rerank (where there is a reranker) and parent, and rejected queries.
+
+    products and datasets filter the corpus before its statistics are taken (an empty list filters nothing). rejected has
+    query_id, mode and the reason: no evidence over the threshold, or none with the codes of the query.
+    """
+    if products:
+        corpus = corpus.where(F.col("product").isin(products))
+    if datasets:
+        corpus = corpus.where(F.col("dataset_id").isin(datasets))
+    lexical = materialised(bm25(corpus, queries))
+    if vectors is not None and query_vectors is not None:
+        near = materialised(dense(vectors.join(corpus.select("id"), "id", "left_semi"), query_vectors))
+    else:
+        near = lexical.limit(0)
+    hits = materialised(fused_top(fused(lexical, near)))
+    final = reranked(hits, corpus, queries, rerank) if rerank else hits
+    scored = materialised(scored_parents(final, corpus, queries, least))
+    found = parents(scored, top)
+    over = scored.where("over").groupBy("query_id").agg(F.count("*").alias("n_over"))
+    reason = F.when(F.col("n_over") > 0, "codes-missing").otherwise("below-threshold")
+    mode = F.lit("hybrid-rerank") if rerank else F.when(F.col("n_dense") > 0, "hybrid").otherwise("lexical-only")
+    n_dense = near.groupBy("query_id").agg(F.count("*").alias("n_dense"))
+    empty = queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti").join(over, "query_id", "left").join(n_dense, "query_id", "left")
+    stages = {"lexical": lexical, "dense": near, "rrf": hits, "parent": found, "rejected": empty.select("query_id", mode.alias("mode"), reason.alias("reason"))}
+    return stages | ({"rerank": final} if rerank else {})
+
+
+def evidence(found: DataFrame, corpus: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Parents as evidence rows: text of the parent's best child, page label, score, confidence."""
+    first = found.withColumn("id", F.get("matched", F.lit(0)))
+    rows = first.join(corpus.select("id", "title", "text"), "id")
+    return rows.select("query_id", "rank", F.concat(F.lit("evidence:"), F.col("parent_id").cast("string")).alias("evidence_id"), "title", "text", "score", S.hit_confidence(F.col("score"), F.col("rerank")).alias("confidence"), F.lit(mode).alias("stage"))
+
+
+def supplemented(found: DataFrame, limit: int = 5) -> DataFrame:
+    """Parents and, up to the limit, their further children: query_id, place, kind, id, score.
+
+    Children come in the order of the parents and of their match, each once; each costs a little of the score.
+    """
+    n = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    children = found.select("query_id", F.col("rank").alias("parent_rank"), "score", F.posexplode("matched").alias("at", "id"))
+    first = children.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("parent_rank", "at"))).where("r = 1").join(n, "query_id")
+    w = Window.partitionBy("query_id").orderBy("parent_rank", "at")
+    extra = first.withColumn("k", F.row_number().over(w)).where(F.col("k") + F.col("n") <= limit)
+    parts = extra.select("query_id", (F.col("n") + F.col("k")).cast("int").alias("place"), F.lit("child").alias("kind"), "id", F.round(F.col("score") - 1e-6 * F.col("k"), 8).alias("score"))
+    own = found.select("query_id", F.col("rank").alias("place"), F.lit("parent").alias("kind"), F.col("parent_id").alias("id"), "score").where(F.col("place") <= limit)
+    return own.unionByName(parts)
+
+
+def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
+    """The filtered results; for queries without any, the unfiltered ones."""
+    return filtered.unionByName(unfiltered.join(filtered.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def merged_lanes(texts: DataFrame, images: DataFrame, queries: DataFrame, mode: str, intent: str) -> DataFrame:
+    """Text and image evidence with a lane (answer or shadow): images answer only if mode is on and the query asks to see."""
+    if mode == "off":
+        return texts.withColumn("lane", F.lit("answer"))
+    wants = queries.select("query_id", F.coalesce(F.col("text").rlike(intent), F.lit(False)).alias("_wants"))
+    lane = F.when(F.lit(mode == "on") & F.col("_wants"), "answer").otherwise("shadow")
+    return texts.withColumn("lane", F.lit("answer")).unionByName(images.join(wants, "query_id").withColumn("lane", lane).drop("_wants"))
+
+
+def fields_bm25(corpus: DataFrame, queries: DataFrame, fields: list[str], tokens: Tokens) -> DataFrame:
+    """query_id, id and score: BM25 of each field with term frequencies, summed. tokens keeps repeated tokens.
+
+    corpus: id and the fields; of a query's repeated token two count.
+    """
+    n = corpus.agg(F.count("*").alias("n"))
+    rows = corpus.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields))).alias("x")).select("id", "x.field", "x.t", F.size("x.t").alias("length"))
+    means = rows.groupBy("field").agg(F.avg("length").alias("mean"))
+    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("asked"))
+    hits = rows.select("id", "field", "length", F.explode("t").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("id", "field", "length", "token").agg(F.count("*").alias("tf"))
+    hits = materialised(hits)
+    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
+    all_ = hits.join(df, ["field", "token"]).join(F.broadcast(means), "field").crossJoin(F.broadcast(n)).join(wanted, "token")  # a row a field; one row
+    term = S.field_term(F.col("df"), F.col("n"), F.col("tf"), F.col("length"), F.col("mean"), F.col("asked"))
+    return all_.groupBy("query_id", "id").agg(F.round(F.sum(term), 6).alias("score"))
+
+
+def proximity(positions: DataFrame, window: int, weight: float) -> DataFrame:
+    """query_id, id and bonus: most distinct terms in a window of positions, then the least span; two terms at least.
+
+    positions: query_id, id, pos, term (each place of a meaningful query term). A window ends at a term's place; the latest
+    place of each term within it gives the span.
+    """
+    w = Window.partitionBy("query_id", "id").orderBy("pos").rangeBetween(-window, 0)
+    seen = positions.withColumn("n", F.size(F.collect_set("term").over(w))).withColumn("first", F.min("pos").over(w))
+    best = seen.groupBy("query_id", "id").agg(F.max(F.struct("n", (F.col("first") - F.col("pos")).alias("minus_span"))).alias("x")).where("x.n >= 2")
+    closeness = F.greatest(F.lit(0.0), (window + 1 + F.col("x.minus_span")) / (window + 1))
+    return best.select("query_id", "id", F.round(weight * (F.col("x.n") + 1.5 * closeness), 6).alias("bonus"))
 
 
 def code_gate(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits (query_id, id) whose text has every code of the query; queries without codes pass."""
-    asked = queries.select("query_id", T.codes(F.col("text")).alias("asked"))
-    held = corpus.select("id", T.codes(F.col("text")).alias("held"))
+    asked = queries.select("query_id", K.exact_terms(F.col("text")).alias("asked"))
+    held = corpus.select("id", K.exact_terms(_code_text(corpus)).alias("held"))
     return hits.join(asked, "query_id").join(held, "id").where(F.size(F.array_except("asked", "held")) == 0).drop("asked", "held")

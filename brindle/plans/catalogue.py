@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from brindle.plans import ledger, retrieval
+from brindle.plans import gates, ledger, memory, pieces, retrieval, storage, texts, verify
 
-ALL = retrieval.QUERIES | ledger.QUERIES
+ALL: dict = {}
+for _part in (retrieval, texts, pieces, verify, gates, memory, storage, ledger):
+    if twice := ALL.keys() & _part.QUERIES.keys():
+        raise ValueError(f"queries registered twice: {sorted(twice)}")
+    ALL |= _part.QUERIES
 
 
 def queries() -> dict:

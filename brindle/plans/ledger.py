@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import conversation as C
+from brindle.plans.registry import register
 from brindle.sources.tables import table
 
 QUERIES: dict = {}
-#: Vocabularies of the routing ladder; the first that occurs names the route.
-RISK, SERVICE, TECHNICAL = ["fire", "smoke", "shock"], ["refund", "order", "price"], ["error", "code", "install"]
-
-
-def query(sql: str | None):  # noqa: ANN201
-    def put(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return put
+query = register(QUERIES)
 
 
 @query("select conv_id, arg_max(role, turn) as last_role, max(turn) as last_turn, max(turn) + 1 as next_turn, count(*) as n_turns from conversations group by 1")
@@ -32,11 +24,6 @@ def slot_last_active(spark, sf):  # noqa: ANN001, ANN201
     return C.last_active(table(spark, sf, "conversations"), T.NUMBER)
 
 
-@query(None)
-def budget_window(spark, sf):  # noqa: ANN001, ANN201
-    return C.budget_window(table(spark, sf, "conversations"))
-
-
 @query(
     """with r as (select conv_id, turn, role, list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) as said from conversations), l as (select *, lag(said) over (partition by conv_id order by turn) as before from r)
 select conv_id, turn, len(said)::bigint as n_numbers, len(list_filter(said, lambda x: not list_contains(coalesce(before, []), x)))::bigint as n_unsupported from l where role = 'assistant'"""
@@ -45,16 +32,6 @@ def verify_numbers(spark, sf):  # noqa: ANN001, ANN201
     return C.unsupported_numbers(table(spark, sf, "conversations"))
 
 
-@query(
-    """select conv_id, turn, case when regexp_matches(lower(text), 'fire|smoke|shock') then 'risk' when regexp_matches(lower(text), 'refund|order|price') and regexp_matches(lower(text), 'error|code|install') then 'mixed'
-when regexp_matches(lower(text), 'refund|order|price') then 'service' when regexp_matches(lower(text), 'error|code|install') then 'technical' else 'general' end as route from conversations"""
-)
-def intent_route(spark, sf):  # noqa: ANN001, ANN201
-    has = lambda terms: T.any_term(F.col("text"), terms)
-    route = F.when(has(RISK), "risk").when(has(SERVICE) & has(TECHNICAL), "mixed").when(has(SERVICE), "service").when(has(TECHNICAL), "technical").otherwise("general")
-    return table(spark, sf, "conversations").select("conv_id", "turn", route.alias("route"))
-
-
 @query("select role, count(*) as n, sum(length(text))::bigint as n_chars, count(distinct conv_id) as n_conversations from conversations group by 1")
 def conv_summary(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.countDistinct("conv_id").alias("n_conversations"))

@@ -1,6 +1,5 @@
 """Every query with SQL against DuckDB on the same tables; the others against plain Python."""
 
-import math
 import os
 from collections import Counter
 
@@ -35,21 +34,6 @@ def test_query_matches_sql(spark, db, sf, name):
     assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(columns, rows)
 
 
-def test_budget_window(spark, sf, db):
-    turns = {}
-    for conv, turn, text in db.execute("select conv_id, turn, text from conversations").fetchall():
-        wide = sum("一" <= c <= "鿿" for c in text)
-        turns.setdefault(conv, []).append((turn, wide + math.ceil((len(text) - wide) / 4)))
-    want = set()
-    for conv, costs in turns.items():
-        used, kept = 0, []
-        for turn, cost in sorted(costs, reverse=True):
-            if used + cost <= 260:
-                used, kept = used + cost, [*kept, turn]
-        want.add((conv, used, ",".join(map(str, sorted(kept)))))
-    assert {tuple(r) for r in catalogue.queries()["budget_window"](spark, sf).collect()} == want
-
-
 def test_redacted_identifiers(spark):
     from pyspark.sql import functions as F
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import codes as K
 from brindle.functions import text as T
 from brindle.operators import search as S
 
@@ -18,7 +19,7 @@ def tables(spark):
 
 
 def test_tokens(spark):
-    row = spark.createDataFrame([("E03, e03-b a pump 7.5 or 12. 清洁滤网机 水", None)], "text string, none string").select(T.tokens(F.col("text")), T.tokens(F.col("none")), T.exact_codes(F.col("text"))).first()
+    row = spark.createDataFrame([("E03, e03-b a pump 7.5 or 12. 清洁滤网机 水", None)], "text string, none string").select(T.tokens(F.col("text")), T.tokens(F.col("none")), K.exact_terms(F.col("text"))).first()
     assert list(row[0]) == ["e03", "e03-b", "pump", "7.5", "or", "12", "清洁", "洁滤", "滤网", "网机", "水"] and row[1] == [] and set(row[2]) == {"E03", "e03-b"}
 
 
