@@ -4,8 +4,8 @@ Every passage (a window of bytes) becomes a vector of counts: kinds of character
 words. A layer encodes it; gated attention weighs the passages; the weighted mean gives the score. All of it is learned
 from document labels. The labelled sample is bounded (TRAIN_DOCUMENTS); scoring covers whole texts.
 
-Rules for odd input: a null text or one without words scores 0; null labels are not used; a
-document with several labels counts once per distinct label; without any labels every score is 0.5; repeated rows
+Rules for odd input: a null text is empty, and an empty text is one passage without words, scored as learned; null labels are
+not used; a document with several labels counts once per distinct label; without any labels every score is 0.5; repeated rows
 get equal scores; an empty table gives an empty result; other columns are kept by score_documents.
 """
 
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import batches_of_bytes, whole_text
+from brindle.llm.common import batches_of_bytes, slices_of_bytes, spare, whole_text
 
-#: Bytes of a passage, most labelled documents to learn from, and the classes of hashed words.
-PASSAGE, TRAIN_DOCUMENTS, WORD_BINS = 1024, 6000, 64
+#: Bytes of a passage, most labelled documents to learn from and passages of each (evenly spaced), classes of hashed words.
+PASSAGE, TRAIN_DOCUMENTS, TRAIN_PASSAGES, WORD_BINS = 1024, 6000, 64, 64
 #: Size of an encoded passage, steps of learning, pull towards zero, seed.
 HIDDEN, STEPS, DECAY, SEED = 24, 300, 1e-3, 11
 #: Characters handled at once in a task (a longer text stands alone); arrays take some 65 bytes for each byte.
@@ -142,7 +142,7 @@ class Model:
         for lo, hi in batches_of_bytes([len(t) for t in texts], CHUNK_BYTES):
             x, owner = passages(texts[lo:hi])
             logit, _ = self.forward((x - self.mean) / self.scale, owner, hi - lo)
-            out[lo:hi] = np.where([t.strip() == "" for t in texts[lo:hi]], 0.0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+            out[lo:hi] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         return out
 
 
@@ -195,11 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            texts = whole.column("text").to_pylist()
-            for lo, hi in batches_of_bytes([len(t) for t in texts], CHUNK_BYTES):
-                part = whole.slice(lo, hi - lo)
-                x, owner = passages(texts[lo:hi])
-                bags = [x[owner == k].tobytes() for k in range(part.num_rows)]
+            for part in slices_of_bytes(whole, "text", CHUNK_BYTES):
+                x, owner = passages(part.column("text").to_pylist())
+                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                bags = [x[np.unique(np.linspace(lo, hi - 1, min(hi - lo, TRAIN_PASSAGES)).astype(int))].tobytes() for lo, hi in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_q"), pa.array(bags, pa.binary())], names=["doc_id", "_q", "x"])
 
     bags = sorted(rows.mapInArrow(run, "doc_id long, _q int, x binary").collect(), key=lambda r: (r["doc_id"], r["_q"], bytes(r["x"])))
@@ -215,21 +214,20 @@ def score_documents(docs: DataFrame, model: Model | None, score: str = "quality_
     if model is None:
         return docs.withColumn(score, F.lit(0.5))
 
-    @F.pandas_udf("double")
-    def run(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(model.score(list(texts)))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts.to_pylist()), pa.float64())
 
     return docs.withColumn(score, run(whole_text(f"`{text}`")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The same columns; documents that score below least go. All stay where nothing is labelled."""
-    return score_documents(docs, train(docs, labels), "_quality").where(F.col("_quality") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    score = spare(docs, "quality_score")
+    return score_documents(docs, train(docs, labels), score).where(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def quality_digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted. A null doc_id is not held out; repeated rows each get a row."""
     scored = score_documents(docs.select("doc_id", "text"), train(docs, labels), "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
