@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection. Built-in functions only.
 
 Rules for odd input: a null text counts as empty and fails (fewer than 50 words); repeated rows each get their own
-verdict; an empty table gives an empty result; other columns are kept by rate(), whose own columns have the prefix q_.
+verdict; an empty table gives an empty result; other columns are kept by rate(), except that columns named like its own (MEASURES) are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ THRESHOLDS: dict[str, tuple[float | None, float | None]] = {
     "q_stop_ratio": (0.01, None),
     "q_line_chars": (None, 100000.0),
 }
+#: Columns that measure() and rate() add; input columns so named are replaced.
+MEASURES = {"q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words", "q_stops", "q_mean_word_chars", "q_symbol_ratio", "q_dup_line_ratio", "q_repeat_ratio", "q_stop_ratio", "q_line_chars", "q_kept"}
 #: The lower bits of a sort key hold a word's place, the upper ones a hash of three words.
 PLACE_BITS = 22
 
@@ -65,11 +67,12 @@ def _repeats(slow_from: int) -> Column:
 
 def measure(df: DataFrame, text: str = "text", slow_from: int = 1 << PLACE_BITS) -> DataFrame:
     """Adds the q_ measures of each whole text; no shuffle, no Python. slow_from: words from which the long way is taken."""
-    kept = df.columns
+    names = [f"in_{k}" for k in range(len(df.columns))]  # so that no column clashes with those made here
     body = F.col("_t")
     stops = sorted({w for s in STOP_WORDS for w in (s, s.capitalize())})
     out = (
-        df.withColumn("_t", whole_text(text))
+        df.toDF(*names)
+        .withColumn("_t", whole_text(names[df.columns.index(text)]))
         .withColumn("_trim", F.btrim(body, F.lit(SPACE_CHARS)))
         .withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", SPACE_CLASS + "+")))
         .withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -85,7 +88,7 @@ def measure(df: DataFrame, text: str = "text", slow_from: int = 1 << PLACE_BITS)
     )
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select(
-        *(F.col(f"`{c}`") for c in kept),
+        *(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if c.lower() not in MEASURES),
         *(F.col(c) for c in ("q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words", "q_stops")),
         over("q_word_chars", "q_words").alias("q_mean_word_chars"),
         over("q_symbols", "q_word_chars").alias("q_symbol_ratio"),
@@ -113,7 +116,7 @@ def rate(df: DataFrame, text: str = "text", thresholds: dict[str, tuple[float |
 
 
 def rules_digest(df: DataFrame) -> DataFrame:
-    """doc_id, the base counts, whether the base rules fail, and the verdict."""
+    """doc_id, the base counts, whether the base rules fail, and the verdict. Null doc_ids and repeated rows each get a row."""
     failed = (F.col("q_words") < 50) | (100 * F.col("q_repeat_words") > 50 * F.col("q_words"))
     return rate(df.select("doc_id", "text")).select(
         "doc_id",
