@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.plans import gates, ledger, memory, pieces, retrieval, storage, texts, verify
+from brindle.plans import gates, ledger, memory, pieces, retrieval, review, storage, streams, texts, verify
 
 ALL: dict = {}
-for _part in (retrieval, texts, pieces, verify, gates, memory, storage, ledger):
+for _part in (retrieval, texts, pieces, verify, gates, memory, storage, review, streams, ledger):
     if twice := ALL.keys() & _part.QUERIES.keys():
         raise ValueError(f"queries registered twice: {sorted(twice)}")
     ALL |= _part.QUERIES
