@@ -61,6 +61,12 @@ ASIDE_WORDS = frozenset(
     "adsense adslot adbox sponsor sponsored promo promos promotion form search searchbox login comment comments disqus respond reply replies "
     "share sharing social related recommended recommendations trending popular widget widgets pagination pager toolbar skip".split()
 )
+# Words that may follow a boilerplate word without changing what it names: "comment-list" is one, "side-effects" is not.
+STRUCTURE = frozenset(
+    "area bar block body box btn button buttons card cell col column container content cta desktop field fixed footer full group head header heading icon icons id "
+    "image img inner input item items label large left link links list lists main mobile module nav outer page panel pane post posts primary right row secondary "
+    "section site slot small sticky tab tabs text title top bottom unit view wrap wrapper zone".split()
+)
 NOT_WORDS = frozenset("no has with without non".split())
 HEADER_OF = frozenset("article post entry content story main body text title".split())
 CONTENT_WORDS = frozenset("article post entry content story".split())
@@ -77,6 +83,14 @@ def _words(value: str) -> list[str]:
     return [w for w in _PARTS.split(_CAMEL.sub("-", value).lower()) if w]
 
 
+def names_boilerplate(words: list[str]) -> bool:
+    """Whether the words of one class or id name boilerplate: by the last word, or by the first with words of structure after it."""
+    hit = [w for w in words if w in ASIDE_WORDS]
+    if not hit or NOT_WORDS & set(words) or (set(hit) <= {"header"} and HEADER_OF & set(words)):
+        return False
+    return words[-1] in ASIDE_WORDS or (words[0] in ASIDE_WORDS and all(w in STRUCTURE or w in ASIDE_WORDS or w[0].isdigit() for w in words[1:]))
+
+
 def zone_of(name: str, attributes: str) -> int | None:
     """What an element says of its blocks: a level of sureness, or None if they are boilerplate."""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)} if "=" in attributes else {}
@@ -86,11 +100,8 @@ def zone_of(name: str, attributes: str) -> int | None:
     if role in ASIDE_ROLES or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
         return None
     named = [_words(part) for key in ("class", "id") for part in found.get(key, "").split()]
-    for words in named:
-        hit = [w for w in words if w in ASIDE_WORDS]
-        if hit and not NOT_WORDS & set(words) and not (set(hit) <= {"header"} and HEADER_OF & set(words)):
-            if name != "main":
-                return None
+    if name != "main" and any(map(names_boilerplate, named)):
+        return None
     if name in ASIDE:
         return None
     if name == "article" or role == "article" or "articleBody" in found.get("itemprop", ""):
@@ -191,9 +202,16 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def root_blocks(blocks: list[tuple[int, str]]) -> tuple[int, list[str]]:
-    """The surest level of a page, and the blocks of that level."""
+    """The level of a page's main text, and the blocks of that level or surer ones.
+
+    That is the surest level that occurs, unless the element for the main content holds more text outside of its articles than
+    inside: then these are teasers, and the whole element is the text.
+    """
     level = max((z for z, _ in blocks), default=UNMARKED)
-    return level, [b for z, b in blocks if z == level]
+    if level == ARTICLE:
+        size = {z: sum(len(b) for y, b in blocks if y == z) for z in (MAIN, ARTICLE)}
+        level = MAIN if size[MAIN] > size[ARTICLE] else ARTICLE
+    return level, [b for z, b in blocks if z >= level]
 
 
 def suffix_ranks(tokens: np.ndarray, ends: np.ndarray, run: int) -> np.ndarray:
