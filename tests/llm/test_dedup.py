@@ -80,8 +80,8 @@ def jaccard(a, b):
 def brute_classes(docs):
     reps = {}
     for d, t in docs:
-        if d is not None:
-            reps[t] = min(d, reps.get(t, d))
+        known = [x for x in (d, reps.get(t)) if x is not None]
+        reps[t] = min(known, default=None)
     texts = list(reps)
     bags = [bag(t) for t in texts]
     up = list(range(len(texts)))
@@ -98,7 +98,7 @@ def brute_classes(docs):
                 up[max(a, b)] = min(a, b)
     least = {}
     for i, t in enumerate(texts):
-        least[find(i)] = min(reps[t], least.get(find(i), reps[t]))
+        least[find(i)] = min((x for x in (reps[t], least.get(find(i))) if x is not None), default=None)
     return {t: least[find(i)] for i, t in enumerate(texts)}
 
 
@@ -127,13 +127,47 @@ def test_near_classes(spark, sf):
     assert len(got) == len(docs)
     by = {}
     for d, t in docs:
-        by.setdefault(d, set()).add(want[t or ""] if d is not None else None)
+        by.setdefault(d, set()).add(want[t or ""])
     for r in got:
         assert r["class_id"] in by[r["doc_id"]], r
     kept = near_dedup.keep_one(df)
     assert kept.columns == df.columns
-    ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
-    assert ids == sorted(set(want.values()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "one text that stands here alone and nowhere else", "another text without a single common word in it"
+    rows = [(5, a, "x"), (5, b, "y"), (6, a, "z"), (None, a, "w"), (None, "only here", "v"), (7, b, "y"), (7, b, "y"), (8, None, "n"), (9, "", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stay string")
+    got = near_dedup.near_duplicate_classes(df).collect()
+    assert len(got) == len(rows) and len({r["class_key"] for r in got}) == 4
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.keep_one(df).collect())
+    assert kept == [(0, "only here"), (5, b), (5, a), (8, None)]
+
+
+def test_families_with_and_without_an_original(spark):
+    """Recall of the stars against brute force: edited copies of one text, and copies so far apart that few are linked."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for family, edits in enumerate((4, 7, 9, 12)):
+        base = list(rng.choice(words, 150))
+        for k in range(120):
+            w = list(base)
+            for at in rng.choice(150, int(rng.integers(1, edits)), replace=False):
+                w[at] = f"n{family}x{k}x{at}"
+            docs.append((1000 * family + k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    mine = {r["doc_id"]: r["class_key"] for r in near_dedup.near_duplicate_classes(df).collect()}
+    bags = [(d, bag(t)) for d, t in docs]
+    linked = [(a, b) for i, (a, x) in enumerate(bags) for b, y in bags[:i] if a // 1000 == b // 1000 and jaccard(x, y) >= 0.8]
+    together = sum(mine[a] == mine[b] for a, b in linked) / len(linked)
+    print("links", len(linked), "recall", together)
+    assert together >= 0.95
+    want = brute_classes(docs)
+    finest = {}
+    for d, t in docs:  # no class holds texts that brute force keeps apart
+        assert finest.setdefault(mine[d], want[t]) == want[t]
 
 
 def test_signatures_estimate_the_weighted_overlap():

@@ -195,6 +195,39 @@ def test_empty_tables(spark):
 
 
 def test_extra_columns_stay(spark):
-    df = spark.createDataFrame([(1, "some text here", "a", 5)], "doc_id long, text string, q_words string, _t int")
-    assert pii.find_pii(df).columns == [*df.columns, "pii_spans"]
-    assert F is not None and quality_rules.rate(df.drop("q_words", "_t")).count() == 1
+    from brindle.llm import line_dedup, mil_quality, near_dedup
+
+    names = ["q_words", "_t", "_w", "_lines", "pii_text", "pii_spans_", "pii_email_found", "_doc", "_text", "_kept", "line_doc", "quality_score", "stay", "h1", "rep"]
+    df = spark.createDataFrame([(1, "write to a.b@c.de or call\nwrite to a.b@c.de or call", *names)], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    same = [c for c in df.columns if c != "text"]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (pii.find_pii(df), pii.redact(df), line_dedup.dedup_lines(df), near_dedup.keep_one(df), mil_quality.keep_good(df, labels, 0.0)):
+        row = out.first()
+        assert [row[c] for c in same] == [1, *names] and out.columns[: len(df.columns)] == df.columns
+    rated = quality_rules.rate(df)
+    assert len(set(rated.columns)) == len(rated.columns) and rated.first()["q_words"] == 10 and rated.first()["_t"] == "_t"
+    assert F is not None
+
+
+PRIVATE = [("IBAN DE89370400440532013000 Bank", "iban:5:27"), ("DE89 3704 0044 0532 0130 00 Bitte", "iban:0:27"), ("ES91 2100 0418 4502 0005 1332 BANK OF", "iban:0:29"), ("DE89370400440532013001 Bank", ""), ("123-45-6789 is my SSN", "ssn:0:11"), ("123-45-6789 is a part", ""), ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "secret:2:51"), ("token = word word", ""), ("7536784127813050 4845168114407329 x", "card_group:17:33"), ("call 555-555-1234 me", "local_phone:5:17")]
+
+
+def test_further_kinds(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(PRIVATE)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.pii_digest(df).collect()} == {k: s for k, (_, s) in enumerate(PRIVATE)}
+
+
+def test_packer_words_against_the_tokenizer():
+    """Odd characters, contractions, special tokens, long words and window borders."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, mine = Tokenizer.from_file(path), packing.WordEncoder(path)
+    r = random.Random(2)
+    signs = "aB'sSreRE  \t\x1c\x85\xa0éÉİıßẞ1٣²½ªº“”’—\u0301<|>startoftext…¡¿漢字😀ſǅ\n.,#İ×"
+    words = ["<|startoftext|>", "<|endoftext|>", "'S", "we'll", "I'VE", "don't", "É", "á", "x" * 70]
+    texts = ["".join(r.choice(words) if r.random() < 0.1 else r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids), text
