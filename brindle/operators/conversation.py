@@ -213,7 +213,7 @@ def transcript_tail(turns: DataFrame, most: int = 8000) -> DataFrame:
     """
     line = F.concat_ws(": ", "role", F.coalesce("text", F.lit("")))
     after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = turns.select("conv_id", "turn", line.alias("line")).withColumn("later", F.coalesce(F.sum(F.length("line") + 1).over(after), F.lit(0))).where(F.col("later") < most)
+    rows = turns.select("conv_id", "turn", line.alias("line")).withColumn("later", F.coalesce(F.sum(F.length("line") + 1).over(after), F.lit(0))).where(F.col("later") <= most)
     lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("xs"))
     return lists.select("conv_id", F.expr(f"right(array_join(transform(xs, x -> x.line), '\n'), {most})").alias("tail"))
 

@@ -161,9 +161,9 @@ def bundle_activation(spark, sf):  # noqa: ANN001, ANN201
 
 @query("""select event_id as id, round(least(0.99::double, 0.5::double + least(0.4::double, 8 * v) + 0.05::double * v), 4) as hit, round(least(0.95::double, 0.5::double + v / 20), 4) as simple, least(1.0::double, least(0.88::double, 0.42::double + least(0.42::double, 8 * v))) as q,
  round(least(0.93::double, greatest(0.15::double, 0.4::double * v + 0.33::double * v + least(0.12::double, greatest(0, length(props) - 20) / 900.0::double * 0.12::double) + 0.07::double)), 4) as guard,
- round(least(0.92::double, greatest(0.32::double, 0.68::double * least(1, v) + 0.32::double * (0.52::double + least(0.14::double, greatest(0, length(props) - 20) / 900.0::double * 0.14::double) + 0.04::double))), 4) as general from (select *, abs(value) / 1000 as v from events where value is not null)""")
+ round(least(0.92::double, greatest(0.32::double, 0.68::double * least(1, v) + 0.32::double * (0.52::double + least(0.14::double, greatest(0, length(props) - 20) / 900.0::double * 0.14::double) + 0.04::double))), 4) as general from (select *, abs(value) / 977 as v from events where value is not null)""")
 def confidences(spark, sf):  # noqa: ANN001, ANN201
-    v = F.abs("value") / 1000
+    v = F.abs("value") / 977
     return table(spark, sf, "events").where("value is not null").select(F.col("event_id").alias("id"), S.hit_confidence(v, v).alias("hit"), S.overlap_confidence(v).alias("simple"), S.quality(F.lit(None).cast("double"), v).alias("q"), S.guard_confidence(v, v, F.col("props")).alias("guard"), S.general_confidence(F.col("props"), v, F.lit(False)).alias("general"))
 
 

@@ -13,7 +13,7 @@ QUERIES: dict = {}
 query = register(QUERIES)
 
 #: Patterns for the invented prose of the test tables.
-PATTERNS = {"model": "the([a-z]+)", "error_code": "(on[a-z]{2,})", "symptom": "(hand[a-z ]{2,20})", "attempted_action": "(inan[a-z]+)", "order_identifier": "\\b([a-z]{3}ou)\\b"}
+PATTERNS = {"model": "the([a-z]+)", "error_code": "(on[a-z]{2,})", "symptom": "(hand[a-z ]{2,20})", "attempted_action": "(inan[a-z]+)", "order_identifier": "(?<![A-Za-z0-9_])([a-z]{3}ou)(?![A-Za-z0-9_])"}
 
 _OBSERVED = """with e as (select user_id as conv_id, event_id as turn, case event_type when 'view' then 'product' when 'click' then 'model' when 'error' then 'error_code' else 'symptom' end as slot, (event_id % 3)::varchar as value, event_id % 5 < 3 as explicit from events),
 r as (select conv_id, turn, slot, case when explicit then value end as said, case when not explicit then value end as seen from e),
