@@ -1,7 +1,36 @@
-"""DuckDB SQL for the numbered queries that SQL can express on whole tables."""
+"""DuckDB SQL for the numbered queries that SQL can express. The others are tested against brute force in tests/llm."""
 
 from __future__ import annotations
 
+from brindle.llm.quality_rules import STOP_WORDS, THRESHOLDS
+
+
+def _rules() -> str:
+    """The counts of op7 and its verdict, from the same table of thresholds."""
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for s in STOP_WORDS for w in (s, s.capitalize())}))
+    over = lambda a, b: f"case when {b} > 0 then {a} / {b}::double else 0 end"
+    measures = {
+        "q_words": "n_words",
+        "q_mean_word_chars": over("word_chars", "n_words"),
+        "q_symbol_ratio": over("n_symbols", "word_chars"),
+        "q_dup_line_ratio": over("n_dup_lines", "n_lines"),
+        "q_repeat_ratio": over("n_repeat_words", "n_words"),
+        "q_stop_ratio": over("n_stops", "n_words"),
+        "q_line_chars": over("word_chars", "n_lines"),
+    }
+    tests = [f"{measures[m]} >= {least}" for m, (least, _) in THRESHOLDS.items() if least is not None]
+    tests += [f"{measures[m]} <= {most}" for m, (_, most) in THRESHOLDS.items() if most is not None]
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+g as (select r, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from w, unnest(range(1, len(w) - 1)) as u(i)),
+t as (select r, i, count(*) over (partition by r, a, b, c) as n from g),
+p as (select r, count(distinct i + k)::bigint as n_repeat_words from t, (values (0), (1), (2)) as v(k) where n >= 2 group by r),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
+ (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(list_filter(w, lambda x: x in ({stops})))::bigint as n_stops from w left join p using (r)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(tests)} as kept, round({measures['q_stop_ratio']}, 6) as stop_ratio from f"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_rules": _rules()}
