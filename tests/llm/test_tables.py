@@ -174,3 +174,38 @@ def test_pipeline(spark, sf):
     all_ids = {r["doc_id"] for r in table(spark, sf, "documents").select("doc_id").collect()}
     assert ids and ids <= all_ids and len(ids) < len(all_ids)
     assert packed.where(F.col("length") > 2048).isEmpty()
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    """Each stage against brute force, over what the stage before it kept."""
+    from brindle.llm import near_dedup, packing, pii
+    from brindle.llm.common import written
+    from tests.llm.test_dedup import brute_classes, brute_lines, line_dedup_hash
+
+    docs = table(spark, sf, "documents")
+    columns = docs.columns
+    stage = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    good = written(stage["quality"](spark, docs, sf))
+    scores = {r["doc_id"]: r["score"] for r in op3_quality(spark, sf).collect()}
+    assert sorted(d for d, _ in pairs(good)) == sorted(d for d, x in scores.items() if x >= 0.5) and good.columns == columns
+    line_dedup_hash.update({r["text"]: r["h"] for r in good.select("text", F.shiftrightunsigned(F.xxhash64("text"), 24).alias("h")).collect()})
+    short = written(stage["lines"](spark, good, sf))
+    assert Counter(pairs(short)) == Counter(brute_lines(pairs(good))) and short.columns == columns
+    single = written(stage["near"](spark, short, sf))
+    assert sorted(d for d, _ in pairs(single)) == sorted(set(brute_classes([(d, t or "") for d, t in pairs(short)]).values())) and single.columns == columns
+    private = written(stage["private"](spark, single, sf))
+    assert private.count() == single.count() and pii.pii_digest(private).where("n_email + n_ip + n_phone > 0").isEmpty() and private.columns == columns
+    packed = stage["packing"](spark, private, sf).collect()
+    encoder = packing.WordEncoder(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
+    assert sum(r["length"] for r in packed) == sum(len(encoder.ids(t or "")) + 1 for _, t in pairs(private))
+    assert near_dedup.SIMILARITY == 0.8
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near", "private", "packing"])
+def test_pipeline_stages_on_odd_rows(spark, sf, docs, name):
+    odd = docs.where("doc_id is null or doc_id < 0").withColumn("n_chars", F.length("text").cast("long"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, odd, sf)
+    rows = out.collect()
+    assert rows if name != "quality" else len(rows) <= 6
+    assert dict(corpus_pipeline.STAGES)[name](spark, odd.limit(0), sf).count() == 0

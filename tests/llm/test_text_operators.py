@@ -164,6 +164,72 @@ def test_rules(docs, rows):
     same(slow, [(x[0], x[5]) for x in expected], ("doc_id", "q_repeat_words"))
 
 
+def plain_fingerprint(text):
+    """The definition, byte by byte, with whole numbers."""
+    raw, base, m32, m64 = text.encode("utf-8", "surrogatepass"), 0x9E3779B97F4A7C15 | 1, (1 << 32) - 1, (1 << 64) - 1
+    n, roll = len(raw), []
+    if not n:
+        return "3::"
+    for i in range(n):
+        window = [raw[i - k] if i >= k else 0 for k in range(7)]
+        mixed = 0
+        for k, b in enumerate(window):
+            mixed ^= (b << 5 * k) & m32
+        roll.append((sum(b * (8 - k) for k, b in enumerate(window)) + mixed) & m32)
+
+    def letters(block):
+        out, h, power = [], 0, 1
+        for i in range(n):
+            h, power = (h + (raw[i] + 1) * power) & m64, power * base & m64
+            if roll[i] % block == block - 1 or i == n - 1:
+                h ^= h >> 29
+                out.append(fingerprint.LETTERS[(h * 0xBF58476D1CE4E5B9 & m64) >> 58])
+                h, power = 0, 1
+        return "".join(c for i, c in enumerate(out) if i < 3 or any(out[i - k] != c for k in (1, 2, 3)))
+
+    block = 3
+    while block * 64 < n:
+        block *= 2
+    while sum(r % block == block - 1 for r in roll) > 128:
+        block *= 2
+    return f"{block}:{letters(block)}:{letters(2 * block)}"
+
+
+def plain_likeness(a, b):
+    """By insertions and deletions of the signatures of one block size; no common run of four letters means not alike."""
+
+    def alike(x, y):
+        if not x or not y:
+            return float(x == y)
+        k = min(4, len(x), len(y))
+        if not {x[i : i + k] for i in range(len(x) - k + 1)} & {y[i : i + k] for i in range(len(y) - k + 1)}:
+            return 0.0
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last if c == d else 1 + min(row[j], row[j - 1])
+        return 1 - row[-1] / (len(x) + len(y))
+
+    if a == b:
+        return 1.0
+    (p, p1, p2), (q, q1, q2) = a.split(":"), b.split(":")
+    if not p1 or not q1:
+        return 0.0
+    if p == q:
+        return max(alike(p1, q1), alike(p2, q2))
+    return alike(p2, q1) if int(p) * 2 == int(q) else alike(p1, q2) if int(q) * 2 == int(p) else 0.0
+
+
+def test_fingerprints_by_definition(rows):
+    texts = [t for _, t in rows if len(t) < 20_000][:60] + ["aaaa" * 300, "ab" * 700, "é漢" * 50]
+    marks = [plain_fingerprint(t) for t in texts]
+    assert [fingerprint.fingerprint(t) for t in texts] == marks
+    edited = [t[: len(t) // 2] + t[len(t) // 2 + 5 :] for t in texts]
+    for a, b in [*zip(marks, map(plain_fingerprint, edited), strict=True), *zip(marks, marks[1:], strict=False)]:
+        assert abs(fingerprint.likeness(a, b) - plain_likeness(a, b)) < 1e-9, (a, b)
+
+
 def test_fingerprints(docs, rows):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = {}
