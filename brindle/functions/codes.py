@@ -57,4 +57,6 @@ def other_codes(text: Column) -> Column:
 
 def exact_terms(text: Column) -> Column:
     """Everything that must match exactly: codes in their one form, and other model-like names."""
-    return F.concat(codes(text), other_codes(text))
+    # a code has a digit, or the letters CF: one look spares the other patterns
+    some = F.coalesce(text, F.lit("")).rlike("[0-9]|[Cc][Ff]")
+    return F.when(some, F.concat(codes(text), other_codes(text))).otherwise(F.array().cast("array<string>"))

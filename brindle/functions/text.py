@@ -31,7 +31,10 @@ def tokens(text: Column) -> Column:
     """Distinct codes, words, numbers, pairs of neighbouring ideographs, and whole runs of four ideographs or fewer."""
     runs = all_of(text, IDEOGRAPHS)
     pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(all_of(F.lower(text), TOKEN), pairs, F.filter(runs, lambda r: F.length(r) <= 4)))
+    plain = all_of(F.lower(text), TOKEN)
+    # most texts have no ideographs: one look tells
+    some = F.coalesce(text, F.lit("")).rlike("[一-鿿]")
+    return F.array_distinct(F.when(some, F.concat(plain, pairs, F.filter(runs, lambda r: F.length(r) <= 4))).otherwise(plain))
 
 
 def exact_tokens(text: Column) -> Column:

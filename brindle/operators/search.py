@@ -80,9 +80,9 @@ def overlap(corpus: DataFrame, queries: DataFrame, top: int | None = 10, tokens:
     body = F.concat_ws(" ", "title", "text") if has_title else F.col("text")
     codes = F.array_distinct(T.all_of(F.lower(F.col("text")), T.EXACT))
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"), F.size(tokens(F.col("text"))).alias("n_query"), codes.alias("codes"))
-    title = F.array_contains(tokens(F.col("title")), F.col("token")) if has_title else F.lit(False)
-    terms = corpus.select("id", *(["title"] if has_title else []), F.explode(tokens(body)).alias("token"))
-    hits = terms.select("id", "token", title.cast("int").alias("in_title")).join(wanted, "token")
+    title = tokens(F.col("title")) if has_title else F.array().cast("array<string>")
+    terms = corpus.select("id", title.alias("in_title"), F.explode(tokens(body)).alias("token"))
+    hits = terms.join(wanted, "token").withColumn("in_title", F.array_contains("in_title", F.col("token")).cast("int"))
     is_code = F.array_contains("codes", F.col("token"))
     shared = hits.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.count_if(is_code).alias("n_codes"), F.sum("in_title").alias("n_title"), F.first("n_query").alias("n_query")).where("n >= 2 or n_codes > 0")
     score = 4.0 * F.col("n") / F.col("n_query") + CODE_OVERLAP * F.col("n_codes") + 0.3 * F.col("n_title") + F.log1p(F.col("n"))
