@@ -27,42 +27,52 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text. Null text: none; repeated rows: a row each; spans of one kind do not overlap; empty table: no rows."""
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text and what they decode to. Null text: empty; repeated rows: a row each; other columns are not read."""
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text. Null or blank text: scored as learned; null doc_id: not held out; repeated rows: equal scores; no labels: 0.5."""
     return quality_digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and slot for every document. Null text: size 1; null lang or source: a value of its own; repeated rows: slots of their own."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text. Null text: no lines; blank lines stay; repeated rows: each comes back; ties go to the least document and line."""
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. Null text: empty; null doc_id: first; equal doc_ids: by text; one document: its own next."""
     return fingerprint_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text. Null text: no words, fails; repeated rows: a row each."""
     return rules_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for every piece. Null text: the closing id alone; repeated rows: packed each; equal pieces: in the order of their columns."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null html: empty; null url: a host of its own; equal pages count once; repeated rows: a row each."""
     return html_digest(table(spark, sf_dir, "pages"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for every document. Null text: empty; no words: alike only to equal texts; null doc_id: takes part; repeated rows: copies of each other."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 

@@ -1,6 +1,7 @@
 """The corpus pipeline: quality classifier, line dedup, MinHash near-dedup, PII, best-fit packing.
 
-Each stage takes what the stage before it kept and returns the columns of documents; the last returns packed pieces.
+Each stage takes what the stage before it kept and returns the columns of documents; the last returns packed pieces. Stages keep
+rows with null columns, empty and very long texts and repeated rows, but for what each says below; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -17,22 +18,22 @@ from brindle.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go (score below 0.5); without labels all stay. Repeated rows go or stay together."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-equal lines only the earliest stays."""
+    """Of near-equal lines only the earliest stays; a document whose lines all go has an empty text, a null text stays null."""
     return dedup_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the least doc_id (null last), then by hashes of text and row."""
     return keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; of overlapping spans the first; a null text stays null."""
     return redact(docs)
 
 
