@@ -115,3 +115,34 @@ def newest(generations: DataFrame, group: str, order: str, keep: int) -> DataFra
     """The newest rows of each group."""
     w = Window.partitionBy(group).orderBy(F.desc(order))
     return generations.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes tables under a new folder and a manifest (name, n_rows, digest) last, which makes the bundle whole.
+
+    A folder that has a manifest is returned unchanged; one without is what a lost job left, and is written anew.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/_SUCCESS")
+    if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        return spark.read.parquet(f"{path}/manifest")
+    parts = None
+    for name in sorted(tables):
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        saved = spark.read.parquet(f"{path}/{name}")
+        row = content_digest(saved, saved.columns).select(F.lit(name).alias("name"), F.col("n").alias("n_rows"), F.concat_ws(":", F.col("sum").cast("string"), F.col("xor").cast("string")).alias("digest"))
+        parts = row if parts is None else parts.unionByName(row)
+    parts.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a whole bundle, by name; a table whose rows are not those of the manifest fails the read."""
+    manifest = {r["name"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}  # a row a table
+    out = {}
+    for name, want in manifest.items():
+        out[name] = spark.read.parquet(f"{path}/{name}")
+        got = content_digest(out[name], out[name].columns).first()
+        if (got["n"], f"{got['sum']}:{got['xor']}") != (want["n_rows"], want["digest"]):
+            raise ValueError(f"bundle table changed: {name}")
+    return out

@@ -78,3 +78,29 @@ def effective_model(events: DataFrame, spans: DataFrame) -> DataFrame:
 def paired(text: Column, assets: Column, mark: str = "<PIC>") -> Column:
     """The parts of a text between marks, each with the asset that follows it (structs text, asset)."""
     return F.transform(F.arrays_zip(F.split(text, mark).alias("t"), F.array_distinct(assets).alias("a")), lambda x: F.struct(x["t"].alias("text"), x["a"].alias("asset")))
+
+
+def contract(df: DataFrame, json_lists: list[str], vector: str = "embedding") -> DataFrame:
+    """Records as a contract shows them: JSON lists decoded (anything else is an empty list), a vector as its dimension."""
+    from brindle.operators.bundle import decoded_strings
+
+    shown = [decoded_strings(F.col(c)).alias(c) if c in json_lists else F.col(c) for c in df.columns if c != vector]
+    return df.select(*shown, F.coalesce(F.when(F.col(vector).isNotNull(), F.size(vector)), F.lit(0)).alias("dimension"))
+
+
+def mapped(cases: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """case_id and the names of its assets that have one, in order of first occurrence, each once, at most so many.
+
+    cases: case_id, asset_ids; names: asset_id, name.
+    """
+    rows = cases.select("case_id", F.posexplode("asset_ids").alias("at", "asset_id")).join(names, "asset_id")
+    first = rows.groupBy("case_id", "name").agg(F.min("at").alias("at"))
+    lists = first.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("x"))
+    kept = F.transform(F.slice("x", 1, most), lambda x: x["name"])
+    return cases.select("case_id").join(lists, "case_id", "left").select("case_id", F.coalesce(kept, F.array().cast("array<string>")).alias("names"))
+
+
+def split_facts(text: Column) -> Column:
+    """Facts of a field, split at commas of both kinds and line ends; trimmed, distinct, not empty."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[,，\n]"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))

@@ -162,3 +162,23 @@ def effective_models(spark, sf):  # noqa: ANN001, ANN201
 def text_and_assets(spark, sf):  # noqa: ANN001, ANN201
     parts = U.paired(F.lit("one <PIC> two <PIC>"), F.array("lang", "lang", "source"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), parts[0]["text"].alias("first"), parts[0]["asset"].alias("asset"), F.size(parts).alias("n"))
+
+
+@query("select p_partkey as id, case when p_partkey % 2 = 0 then 2 else 0 end::int as n, case when p_partkey % 3 = 0 then 0 else 2 end::int as dimension, p_brand || '|' || p_type as facts from part")
+def contract_views(spark, sf):  # noqa: ANN001, ANN201
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    rows = p.select(k.alias("id"), F.when(k % 2 == 0, '["a","b"]').otherwise("no list").alias("tags"), F.when(k % 3 > 0, F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"), U.split_facts(F.concat(F.lit(" "), "p_brand", F.lit(" , "), "p_type", F.lit("，\n"), "p_brand")).alias("f"))
+    return U.contract(rows, ["tags"]).select("id", F.size("tags").alias("n"), "dimension", F.array_join("f", "|").alias("facts"))
+
+
+@query("with a as (select l_orderkey as case_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, p_brand as name from lineitem join part on p_partkey = l_partkey where p_size > 10), f as (select case_id, name, min(pos) as pos from a group by 1, 2), k as (select *, row_number() over (partition by case_id order by pos) as r from f) select o.case_id, coalesce(string_agg(name, ',' order by r) filter (where r <= 2), '') as names from (select distinct l_orderkey as case_id from lineitem) o left join k using (case_id) group by 1")
+def mapped_assets(spark, sf):  # noqa: ANN001, ANN201
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("asset_ids"))
+    names = table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("asset_id"), F.col("p_brand").alias("name"))
+    return U.mapped(lines, names, 2).select("case_id", F.array_join("names", ",").alias("names"))
+
+
+@query("select l_orderkey as parent_id, count(*) as n_children, sum(l_quantity)::bigint as total, count(*) filter (where l_returnflag = 'R') as n_off from lineitem group by 1")
+def children_counts(spark, sf):  # noqa: ANN001, ANN201
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("parent_id")).agg(F.count("*").alias("n_children"), F.sum("l_quantity").cast("long").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("n_off"))

@@ -201,3 +201,17 @@ def test_files(spark, tmp_path):
     assert [r["id"] for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "sub")).collect()] == ["y", "x"]
     sse = spark.createDataFrame([("data: {\"a\":1}",), (": ping",), ("data: [DONE]",)], "value string")
     assert [r["event"]["a"] for r in S_.decoded_events(sse, "a int").collect()] == [1]
+
+
+def test_bundles_are_written_once(spark, tmp_path):
+    from brindle.operators import bundle as B
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    path = str(tmp_path / "v1")
+    first = {r["name"]: tuple(r) for r in B.write_bundle({"children": rows, "parents": rows.limit(1)}, path).collect()}
+    again = {r["name"]: tuple(r) for r in B.write_bundle({"children": rows.limit(0)}, path).collect()}
+    assert first == again and first["children"][1] == 2
+    assert B.read_bundle(spark, path)["children"].count() == 2
+    rows.limit(1).write.mode("overwrite").parquet(f"{path}/children")
+    with pytest.raises(ValueError, match="children"):
+        B.read_bundle(spark, path)
