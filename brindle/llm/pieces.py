@@ -4,8 +4,8 @@ A byte-pair encoding keeps, for every prefix of a text, exactly one possible las
 filled from left to right: of the tokens that end at a place (found by an automaton), the one is stored whose pair with
 the last token before it is compatible, that is, would not have been merged otherwise. Ids are then read off backwards.
 
-Rules for odd input: a null text counts as empty and has no ids; repeated rows each get their own result; other columns
-are kept by the caller's join on its key or by the digest's extra columns; an empty table gives an empty result.
+Rules for odd input: a null text counts as empty and has no ids; repeated rows each get their own result; an empty table
+gives an empty result; encode_pieces and decode_pieces keep other columns, the digest reads only doc_id and text.
 """
 
 from __future__ import annotations
