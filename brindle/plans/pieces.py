@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import lists as L
 from brindle.operators import chunking as C
 from brindle.plans.registry import register
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -17,7 +17,7 @@ _MANUAL = """(select doc_id as id, source as title, trim(regexp_replace(text, '[
 
 
 def _manuals(spark, sf):  # noqa: ANN001, ANN202
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.btrim(F.regexp_replace("text", r"[\r\n]+[-*# ]*", "\n"), F.lit(" \n\t-*#")).alias("t")).where("t <> ''")
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.btrim(F.regexp_replace("text", r"[\r\n]+[-*# ]*", "\n"), F.lit(" \n\t-*#")).alias("t")).where("t <> ''")
     n = F.col("id").cast("string")
     return d.select("id", "title", F.concat(F.lit("intro "), n, F.lit("\n# First\n## Second "), n, F.lit("\n\n"), "t", F.lit("\n- item\n* other\nlast line\n \nend\n# Trailing")).alias("text"))
 
@@ -49,7 +49,7 @@ c as (select id, place, substr(raw, 1, case when b > 261 then b else length(raw)
 select id, count(*) as n, sha256(string_agg(sha256(trim(p, ' ' || chr(10) || chr(9) || chr(13))), ',' order by place)) as digest from c where trim(p, ' ' || chr(10) || chr(9) || chr(13)) <> '' group by 1"""
 )
 def chunk_soft_boundary(spark, sf):  # noqa: ANN001, ANN201
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").where("length(text) > 520")
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text").where("length(text) > 520")
     lists = C.soft_pieces(d).groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", F.sha2("piece", 256).alias("d")))).alias("x"))
     return lists.select("id", "n", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ","), 256).alias("digest"))
 

@@ -11,7 +11,7 @@ from brindle.operators import lifecycle as L
 from brindle.operators import search as S
 from brindle.plans.registry import register
 from brindle.plans.texts import _OTHER, TOKENS_SQL, codes_sql
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -28,13 +28,13 @@ def _exact(text: str) -> str:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     code = F.concat(F.lit(" (E"), (10 + F.col("doc_id") % 90).cast("string"), F.lit(")"))
     return d.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).cast("long").alias("parent_id"), F.col("source").alias("title"), "lang", "source", F.concat("text", code).alias("text"))
 
 
 def plain_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "lang", "source", "text")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:

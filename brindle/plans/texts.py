@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import codes as K
 from brindle.functions import text as T
 from brindle.plans.registry import register
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -34,7 +34,7 @@ _SOME = "(text || ' Err_' || (doc_id % 13) || ' no-cf (E0' || (doc_id % 10) || '
 
 def _docs(spark, sf):  # noqa: ANN001, ANN202
     """Documents, and their texts with a few codes put behind (the prose holds hardly any)."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text", "lang", "source")
     n = F.col("id").cast("string")
     return d.withColumn("coded", F.concat("text", F.lit(" Err_"), (F.col("id") % 13).cast("string"), F.lit(" no-cf (E0"), (F.col("id") % 10).cast("string"), F.lit(") ab"), n, F.lit("x9")))
 

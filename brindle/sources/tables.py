@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables below this size are dealt out to all cores before work on texts; larger ones come in enough parts by themselves.
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the table is small: a file of one row group would be one task. No shuffle beyond that."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder (spark.checkpoint.dir) and read again: later plans start from there."""
     spark = df.sparkSession
