@@ -46,6 +46,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Deletes the folder of a table that written() made and that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if re.fullmatch(r"brindle-[0-9a-f]{32}", name.rpartition("/")[2]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def batches_of_bytes(sizes: list[int], limit: int) -> list[tuple[int, int]]:
     """Ranges of neighbouring items of at most limit bytes together (a larger item stands alone)."""
     out, start, total = [], 0, 0

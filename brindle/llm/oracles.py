@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm.centroids import DIMENSIONS, ROUNDS, SEED, STEPS, K
 from brindle.llm.quality_rules import STOP_WORDS, THRESHOLDS
 
 
@@ -32,5 +33,26 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(tests)} as kept, round({measures['q_stop_ratio']}, 6) as stop_ratio from f"""
 
 
+def _centroids() -> str:
+    """Plain rounds of op13, one after another: every vector against every centroid."""
+    steps = [
+        f"v0 as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({STEPS} * x::double)::bigint) as v from embeddings"
+        f" where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMENSIONS})",
+        f"h as (select v, row_number() over (order by sha256('{SEED}:' || coalesce(vec_id::varchar, '')), v) - 1 as c from v0)",
+        f"c0 as materialized (select c, v as w from h where c < {K})",
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(f"p{k} as (select r, c, list_sum(list_transform(range(1, {DIMENSIONS + 1}), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::bigint as d from v0, c{k})")
+        steps.append(f"a{k} as materialized (select r, arg_min(c, (d, c)) as c, min(d) as d from p{k} group by r)")
+        if k < ROUNDS:
+            steps.append(f"u{k} as (select c, i, sum(v[i])::bigint as s, count(*) as n from a{k} join v0 using (r), unnest(range(1, {DIMENSIONS + 1})) as t(i) group by c, i)")
+            steps.append(f"m{k} as (select c, list((s - (((s % n) + n) % n)) // n order by i) as w from u{k} group by c)")
+            steps.append(f"c{k + 1} as materialized (select c, coalesce(m{k}.w, c{k}.w) as w from c{k} left join m{k} using (c))")
+    return f"""with {", ".join(steps)}
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+ sha256(list_aggregate(list_transform(w, lambda x: x::bigint::varchar), 'string_agg', ',')) as centroid_sha256
+from a{ROUNDS} join v0 using (r) join c{ROUNDS} using (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rules": _rules()}
+    return {"op7_rules": _rules(), "op13_centroids": _centroids()}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.centroids import centroid_digest
 from brindle.llm.common import table
 from brindle.llm.fingerprint import fingerprint_digest
 from brindle.llm.html_text import html_digest
@@ -76,5 +77,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster for every usable vector. Null, short, long or non-finite vectors: no row; repeated rows: a vector each; empty table: no rows."""
+    return centroid_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup, op13_centroids)}
