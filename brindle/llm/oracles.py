@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brindle.llm.centroids import DIMENSIONS, ROUNDS, SEED, STEPS, K
 from brindle.llm.quality_rules import STOP_WORDS, THRESHOLDS
+from brindle.llm.ranked import TOP
 
 
 def _rules() -> str:
@@ -54,5 +55,21 @@ select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c)):
 from a{ROUNDS} join v0 using (r) join c{ROUNDS} using (c)"""
 
 
+def _ranked() -> str:
+    """Scores of op12 for every document and item."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+with t as (select row_number() over () as r, doc_id, {terms} as w from documents),
+d as (select r, doc_id, len(w)::bigint as n from t where len(w) > 0),
+s as (select count(*)::bigint as nn, sum(n)::bigint as ll from d),
+f as (select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from t) group by r, term),
+x as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from f, s group by term, nn),
+q as (select distinct item_id, term from (select item_id, unnest({terms}) as term from benchmark)),
+g as (select item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score from q join x using (term) join f using (term) join d using (r), s group by item_id, r),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from g join d using (r) where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= {TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rules": _rules(), "op13_centroids": _centroids()}
+    return {"op7_rules": _rules(), "op12_ranked": _ranked(), "op13_centroids": _centroids()}

@@ -17,6 +17,7 @@ from brindle.llm.packing import pack_documents
 from brindle.llm.pieces import piece_digest
 from brindle.llm.pii import pii_digest
 from brindle.llm.quality_rules import rules_digest
+from brindle.llm.ranked import ranked_digest
 from brindle.llm.shards import shard_documents
 
 
@@ -77,10 +78,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every item. Null text: no terms; repeated rows: a document each; rows of one item_id: one item; ties: least doc_id, null last."""
+    return ranked_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cluster for every usable vector. Null, short, long or non-finite vectors: no row; repeated rows: a vector each; empty table: no rows."""
     return centroid_digest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup, op13_centroids)}
+    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup, op12_ranked, op13_centroids)}
