@@ -55,6 +55,19 @@ select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c)):
 from a{ROUNDS} join v0 using (r) join c{ROUNDS} using (c)"""
 
 
+def _warc() -> str:
+    """The records of op11: digests in base 32, and the largest page_id of each payload."""
+    half = "['" + "', '".join(f"{k:04b}" for k in range(16)) + "']"
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    five = lambda i: "+".join(f"{1 << (4 - k)} * substr(bits, 5 * {i} + {k + 1}, 1)::int" for k in range(5))
+    return f"""
+with p as (select row_number() over (order by page_id, url) as r, page_id, coalesce(html, '') as html from pages),
+b as (select *, list_aggregate(list_transform(range(1, 41), lambda i: ({half})[strpos('0123456789abcdef', substr(sha1(html), i::int, 1))]), 'string_agg', '') as bits from p),
+d as (select r, page_id, strlen(html)::bigint as payload_bytes, {" || ".join(f"substr('{alphabet}', 1 + {five(i)}, 1)" for i in range(32))} as payload_digest from b),
+h as (select *, row_number() over (partition by payload_digest order by page_id desc nulls last, r desc) as k, first_value(page_id) over (partition by payload_digest order by page_id desc nulls last, r desc) as head from d)
+select page_id, payload_bytes, payload_digest, case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then head end as refers_to from h"""
+
+
 def _ranked() -> str:
     """Scores of op12 for every document and item."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,4 +85,4 @@ select item_id, rank::int as rank, doc_id, score from k where rank <= {TOP}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_rules": _rules(), "op12_ranked": _ranked(), "op13_centroids": _centroids()}
+    return {"op7_rules": _rules(), "op11_warc": _warc(), "op12_ranked": _ranked(), "op13_centroids": _centroids()}

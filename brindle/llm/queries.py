@@ -19,6 +19,7 @@ from brindle.llm.pii import pii_digest
 from brindle.llm.quality_rules import rules_digest
 from brindle.llm.ranked import ranked_digest
 from brindle.llm.shards import shard_documents
+from brindle.llm.warc import warc_digest
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,6 +79,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written and read back. Null html: an empty payload; null page_id: before all others; repeated rows: the first is the response."""
+    return warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every item. Null text: no terms; repeated rows: a document each; rows of one item_id: one item; ties: least doc_id, null last."""
     return ranked_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,4 +95,4 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup, op12_ranked, op13_centroids)}
+    return {f.__name__: f for f in (op1_pii, op2_pieces, op3_quality, op4_shards, op5_line_dedup, op6_fingerprints, op7_rules, op8_packing, op9_html, op10_near_dedup, op11_warc, op12_ranked, op13_centroids)}
