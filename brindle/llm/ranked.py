@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,12 @@ TERMS_A_PACK = 200_000
 #: Bytes of text analysed at once, blocks written at once, blocks read at once, cells (terms by documents) of a score table, blocks scored at once for an item.
 SLICE_BYTES, WRITTEN_BLOCKS, READ_BLOCKS, CELLS, STEP = 8 << 20, 64, 64, 16 << 20, 16
 
-#: held: the number of different terms of each document; terms and tf: their places in the vocabulary and counts, document after document.
-_SCHEMA = "block long, docs long, length long, vocabulary array<string>, df array<int>, most array<long>, least array<long>, ids array<long>, n array<long>, held array<int>, terms array<int>, tf array<int>"
-_SUMMARY = ("block", "vocabulary", "most", "least")
+#: A block: its number, documents and their terms; its summary (the vocabulary, joined by blanks, and for each term the documents that hold it, the largest
+#: count and the least length) and its forward lists (for each document its id, whether that is null, its length and the number of its different terms; then
+#: these terms' places in the vocabulary and their counts). Both are compressed, so that a task's batches stay small.
+_SCHEMA = "block long, docs long, length long, summary binary, forward binary"
+_SUMMARY = {"vocabulary": np.uint8, "df": np.int32, "most": np.int32, "least": np.int32}
+_FORWARD = {"ids": np.int64, "none": np.bool_, "n": np.int32, "held": np.int32, "terms": np.int32, "tf": np.int32}
 
 #: Bytes of ASCII that are no letter or digit become blanks, A to Z become lower case, all other bytes stay.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -78,30 +82,38 @@ class _Block:
     def full(self, documents: int) -> bool:
         return len(self.ids) >= documents or len(self.terms) >= BLOCK_TERMS
 
-    def maxima(self) -> tuple[np.ndarray, ...]:
-        """Of each term: documents, largest count, least length."""
-        size, terms = len(self.places), np.array(self.terms, np.int64)
-        most, least = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
-        np.maximum.at(most, terms, self.tf)
-        np.minimum.at(least, terms, np.repeat(self.n, self.held))
-        return np.bincount(terms, minlength=size), most, least
+    def summary(self) -> bytes:
+        size, terms = len(self.places), np.array(self.terms, np.int32)
+        most, least = np.zeros(size, np.int32), np.full(size, np.iinfo(np.int32).max)
+        np.maximum.at(most, terms, np.array(self.tf, np.int32))
+        np.minimum.at(least, terms, np.repeat(np.array(self.n, np.int32), self.held))
+        return _packed(_SUMMARY, np.frombuffer(b" ".join(self.places), np.uint8), np.bincount(terms, minlength=size), most, least)
+
+    def forward(self) -> bytes:
+        return _packed(_FORWARD, [i or 0 for i in self.ids], [i is None for i in self.ids], self.n, self.held, self.terms, self.tf)
+
+
+def _packed(kinds: dict[str, type], *parts) -> bytes:  # noqa: ANN002
+    """Arrays of the given kinds, after their sizes in bytes, compressed."""
+    data = [np.asarray(p, k).tobytes() for p, k in zip(parts, kinds.values(), strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(d) for d in data], np.int64).tobytes(), *data]))
+
+
+def _unpacked(column: pa.Array, kinds: dict[str, type]) -> list[dict[str, np.ndarray]]:
+    """The arrays of each row."""
+    out, reader = [], zstandard.ZstdDecompressor()
+    for packed in column:
+        data = reader.decompress(packed.as_buffer())
+        ends = 8 * len(kinds) + np.cumsum([0, *np.frombuffer(data, np.int64, len(kinds))])
+        out.append({name: np.frombuffer(data, kind, (ends[i + 1] - ends[i]) // np.dtype(kind).itemsize, ends[i]) for i, (name, kind) in enumerate(kinds.items())})
+    return out
 
 
 def _rows(blocks: list[_Block], number: int) -> pa.RecordBatch:
     """Blocks as rows, numbered from number on."""
-    lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array([x for p in parts for x in p] if isinstance(parts[0], list) else np.concatenate(parts), kind))
-    df, most, least = zip(*(b.maxima() for b in blocks), strict=True)
-    columns = {
-        "block": pa.array(range(number, number + len(blocks)), pa.int64()),
-        "docs": pa.array([len(b.ids) for b in blocks], pa.int64()),
-        "length": pa.array([sum(b.n) for b in blocks], pa.int64()),
-        "vocabulary": lists([list(b.places) for b in blocks], pa.binary()).cast(pa.list_(pa.string())),
-        "df": lists(df, pa.int32()),
-        "most": lists(most, pa.int64()),
-        "least": lists(least, pa.int64()),
-    }
-    columns |= {name: lists([getattr(b, name) for b in blocks], kind) for name, kind in (("ids", pa.int64()), ("n", pa.int64()), ("held", pa.int32()), ("terms", pa.int32()), ("tf", pa.int32()))}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    numbers = [range(number, number + len(blocks)), [len(b.ids) for b in blocks], [sum(b.n) for b in blocks]]
+    columns = [*(pa.array(x, pa.int64()) for x in numbers), pa.array([b.summary() for b in blocks], pa.binary()), pa.array([b.forward() for b in blocks], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
 def _blocks(documents: int):  # noqa: ANN202
@@ -150,26 +162,20 @@ class Pack:
 
     items: list[int | None]
     terms: list[str]
-    weights: np.ndarray
     of_item: list[np.ndarray]
     documents: int
     length: int
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     least: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     @classmethod
     def of(cls, rows: list, documents: int, length: int) -> Pack:
-        """rows: item_id, term, weight."""
-        items, places, weights = {}, {}, []
-        of_item: list[list[int]] = []
+        """rows: item_id, term."""
+        places: dict[str, int] = {}
+        of_item: dict[int | None, list[int]] = {}
         for r in rows:
-            if r["item_id"] not in items:
-                items[r["item_id"]] = len(items)
-                of_item.append([])
-            if r["term"] not in places:
-                places[r["term"]] = len(places)
-                weights.append(r["weight"])
-            of_item[items[r["item_id"]]].append(places[r["term"]])
-        return cls(list(items), list(places), np.array(weights, np.int64), [np.array(x, np.int64) for x in of_item], documents, length, np.ones(len(items), np.int64))
+            of_item.setdefault(r["item_id"], []).append(places.setdefault(r["term"], len(places)))
+        return cls(list(of_item), list(places), [np.array(x, np.int64) for x in of_item.values()], documents, length, least=np.ones(len(of_item), np.int64))
 
     def parts(self, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
         """What one occurrence list adds to a score, before its weight."""
@@ -177,11 +183,16 @@ class Pack:
         return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
-def _lists(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
-    """Where each row's list begins and ends, and all items."""
-    column = part.column(name)
-    at = column.offsets.to_numpy()
-    return (at - at[0]).astype(np.int64), column.flatten()
+def _joined(rows: list[dict[str, np.ndarray]], name: str) -> np.ndarray:
+    """One list of all rows."""
+    found = np.concatenate([r[name] for r in rows])
+    return found.astype(np.int64) if found.dtype == np.int32 else found
+
+
+def _places(rows: list[dict[str, np.ndarray]], terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each block's vocabulary begins and ends, and the place of each of its terms among the given ones (-1: none)."""
+    words = pc.split_pattern(pa.array([r["vocabulary"].tobytes() for r in rows], pa.binary()).cast(pa.string()), " ")
+    return words.offsets.to_numpy().astype(np.int64), pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy().astype(np.int64)
 
 
 class _Chunk:
@@ -189,10 +200,10 @@ class _Chunk:
 
     def __init__(self, part: pa.RecordBatch, pack: Pack, terms: pa.Array) -> None:
         self.part, self.pack = part, pack
-        self.at, words = _lists(part, "vocabulary")
-        self.place = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy().astype(np.int64)
+        blocks = _unpacked(part.column("summary"), _SUMMARY)
+        self.at, self.place = _places(blocks, terms)
         hit = np.flatnonzero(self.place >= 0)
-        most, least = (_lists(part, c)[1].to_numpy()[hit] for c in ("most", "least"))
+        most, least = _joined(blocks, "most")[hit], _joined(blocks, "least")[hit]
         row = np.searchsorted(self.at, hit, "right") - 1
         self.hits = np.bincount(row, minlength=part.num_rows)
         largest = np.zeros((part.num_rows, len(pack.terms)), np.int64)
@@ -205,15 +216,16 @@ class _Chunk:
         used = np.unique(self.place[self.place >= 0])
         where = np.full(len(self.pack.terms), -1, np.int64)
         where[used] = np.arange(len(used))
-        (doc_at, n), (_, held), (term_at, terms), (_, tf), (_, ids) = (_lists(self.part, c) for c in ("n", "held", "terms", "tf", "ids"))
-        n, held, terms, tf = (x.to_numpy().astype(np.int64) for x in (n, held, terms, tf))
-        block, doc = np.repeat(np.arange(len(term_at) - 1), np.diff(term_at)), np.repeat(np.arange(len(n)), held)
-        place = self.place[self.at[block] + terms]
-        some = (place >= 0) & wanted[block]
+        rows = np.flatnonzero(wanted)
+        blocks = _unpacked(self.part.column("forward").take(pa.array(rows)), _FORWARD)
+        n, tf, ids = _joined(blocks, "n"), _joined(blocks, "tf"), _joined(blocks, "ids")
+        doc = np.repeat(np.arange(len(n)), _joined(blocks, "held"))
+        place = self.place[np.repeat(self.at[rows], [len(b["terms"]) for b in blocks]) + _joined(blocks, "terms")]
+        some = place >= 0
         doc, place = doc[some], place[some]
         out = np.zeros((len(used), len(n)), np.int64)
         out[where[place], doc] = self.pack.weights[place] * self.pack.parts(tf[some], n[doc])
-        return where, out, pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(doc_at) - 1), np.diff(doc_at))
+        return where, out, ids, _joined(blocks, "none"), np.repeat(rows, [len(b["n"]) for b in blocks])
 
 
 def _small(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
@@ -315,7 +327,7 @@ def _best_of_items(found: DataFrame, top: int, *order) -> DataFrame:  # noqa: AN
 
 def thresholds(index: DataFrame, pack: Pack) -> np.ndarray:
     """For each item the TOP-th best score among its blocks of highest bound, 1 where they hold fewer documents."""
-    bounds = index.select(*_SUMMARY).mapInArrow(_seeds(pack), "item int, block long, bound long")
+    bounds = index.select("block", "summary").mapInArrow(_seeds(pack), "item int, block long, bound long")
     picked = _best_of_items(bounds, SEEDS, F.desc("bound"), "block").groupBy("block").agg(F.collect_list("item").alias("only"))
     # at most SEEDS blocks an item of one pack
     found = index.join(F.broadcast(picked), "block").mapInArrow(_scored(pack), "item int, doc_id long, score long")
@@ -327,27 +339,50 @@ def thresholds(index: DataFrame, pack: Pack) -> np.ndarray:
     return out
 
 
-def weighted_terms(index: DataFrame, items: DataFrame) -> tuple[DataFrame, int, int]:
-    """item_id, term, weight of the terms that count, written; the number of documents and of their terms."""
+def _counts(terms: list[str]):  # noqa: ANN202
+    """The task's number of documents that hold each term: place, df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, total = pa.array(terms, pa.string()), np.zeros(len(terms) + 1, np.int64)
+        for part in _small(batches, 1):
+            blocks = _unpacked(part.column("summary"), _SUMMARY)
+            _, place = _places(blocks, wanted)
+            np.add.at(total, place, _joined(blocks, "df"))
+        some = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "df"])
+
+    return run
+
+
+def weights(index: DataFrame, pack: Pack) -> np.ndarray:
+    """The weight of each of the pack's terms, 0 where no document holds it."""
+    n = F.lit(pack.documents)
+    df = index.select("summary").mapInArrow(_counts(pack.terms), "place int, df long").groupBy("place").agg(F.sum("df").alias("df"))
+    weight = F.floor(1000 * F.log((2 * n + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
+    out = np.zeros(len(pack.terms), np.int64)
+    for r in df.select("place", weight.alias("weight")).collect():  # one pack
+        out[r["place"]] = r["weight"]
+    return out
+
+
+def packs(index: DataFrame, items: DataFrame) -> Iterator[Pack]:
+    """The items (item_id, text) with their terms' weights and their thresholds, pack by pack."""
     n, length = index.agg(F.sum("docs"), F.sum("length")).first()
-    wanted = written(_item_terms(items))
-    held = index.select(F.explode(F.arrays_zip(F.col("vocabulary").alias("term"), F.col("df").alias("df"))).alias("x")).select("x.*")
-    df = held.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weight = F.floor(1000 * F.log((2 * F.lit(n or 0) + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    return written(wanted.join(df, "term").select("item_id", "term", weight.alias("weight")).where("weight > 0")), n or 0, length or 0
+    terms = written(_item_terms(items))
+    parts = -(-terms.count() // TERMS_A_PACK) if n else 0
+    for p in range(parts):
+        pack = Pack.of(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect(), n, length)
+        if pack.items:
+            pack.weights = weights(index, pack)
+            pack.least = thresholds(index, pack)
+            yield pack
 
 
 def search(index: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, rank, doc_id, score: the TOP best documents of each item (item_id, text). index must have been written."""
     spark = index.sparkSession
-    terms, n, length = weighted_terms(index, items)
-    packs = -(-terms.count() // TERMS_A_PACK)
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    for p in range(packs):
-        pack = Pack.of(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(packs)) == p).collect(), n, length)
-        if not pack.items:
-            continue
-        pack.least = thresholds(index, pack)
+    for pack in packs(index, items):
         found = index.mapInArrow(_scored(pack), "item int, doc_id long, score long")
         names = F.broadcast(spark.createDataFrame(list(enumerate(pack.items)), "item int, item_id long"))  # one pack
         ranked = _best_of_items(found, TOP, F.desc("score"), F.asc_nulls_last("doc_id")).join(names, "item")

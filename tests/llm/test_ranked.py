@@ -75,9 +75,8 @@ def test_empty_tables(spark):
 def test_bounds_hold_and_prune(spark):
     """No score is above its block's bound, and most blocks stay below the items' thresholds."""
     index = written(ranked.forward_index(table(spark, "/root/testdata/sf0.1", "documents")))
-    rows, n, length = ranked.weighted_terms(index, table(spark, "/root/testdata/sf0.1", "benchmark"))
-    pack = ranked.Pack.of(rows.collect(), n, length)
-    least, scored, pairs = ranked.thresholds(index, pack), 0, 0
+    (pack,) = ranked.packs(index, table(spark, "/root/testdata/sf0.1", "benchmark"))
+    scored, pairs = 0, 0
     for part in pa.Table.from_batches(index.limit(300).toArrow().to_batches()).combine_chunks().to_batches():
         chunk = ranked._Chunk(part, pack, pa.array(pack.terms))
         where, scores, _, _, block = chunk.tables(np.ones(part.num_rows, bool))
@@ -85,6 +84,6 @@ def test_bounds_hold_and_prune(spark):
             at = where[of]
             found = scores[at[at >= 0]].sum(0)
             assert (found <= chunk.bound[block, q]).all()
-        scored, pairs = scored + int((chunk.bound >= least).sum()), pairs + chunk.bound.size
+        scored, pairs = scored + int((chunk.bound >= pack.least).sum()), pairs + chunk.bound.size
     print("share of blocks scored", scored / pairs)
     assert scored < 0.3 * pairs
