@@ -79,12 +79,21 @@ def redacted(text: Column) -> Column:
     return F.aggregate(longest_first, F.coalesce(text, F.lit("")), lambda acc, x: F.replace(acc, x, F.concat(F.lit("[id:"), F.substring(F.sha2(x, 256), 1, 10), F.lit("]"))))
 
 
+def exact_and_units(low: Column) -> Column:
+    """Codes, and numbers with their units, of a text in lower case."""
+    return all_of(low, r"[a-z]+[0-9]+[a-z0-9-]*|[0-9]+(?:\.[0-9]+)?(?:v|w|a|hz|mm|cm)?")
+
+
+def pairs(text: Column) -> Column:
+    """Pairs of neighbouring ideographs."""
+    runs = all_of(text, "[一-鿿]{2,}")
+    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+
+
 def search_tokens(text: Column) -> Column:
-    """Distinct codes and numbers with units, words, and pairs of neighbouring ideographs. No dictionary segments ideographs."""
+    """Distinct codes and numbers with units, words, and pairs of neighbouring ideographs. operators.segment adds a dictionary's words."""
     low = F.lower(text)
-    runs = all_of(low, "[一-鿿]{2,}")
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(all_of(low, r"[a-z]+[0-9]+[a-z0-9-]*|[0-9]+(?:\.[0-9]+)?(?:v|w|a|hz|mm|cm)?"), all_of(low, "[a-z0-9_]+"), pairs))
+    return F.array_distinct(F.concat(exact_and_units(low), all_of(low, "[a-z0-9_]+"), pairs(low)))
 
 
 def stem(name: Column) -> Column:

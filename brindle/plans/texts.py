@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from brindle.functions import codes as K
 from brindle.functions import text as T
+from brindle.operators import search as S
+from brindle.operators import segment as G
 from brindle.plans.registry import register
-from brindle.sources.tables import spread, table
+from brindle.sources.tables import materialised, spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -85,6 +87,55 @@ def keyword_names(spark, sf):  # noqa: ANN001, ANN201
     return _docs(spark, sf).select("id", F.size(whole).cast("long").alias("n")).where("n > 0")
 
 
+# ---- segmentation
+_PATHS = """
+with recursive d as (select doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) as w from documents),
+f as (select w, count(*) as n from (select unnest(w) as w from d) group by 1),
+g as (select w, round(ln(n / (select sum(n) from f)) * 1000000)::bigint as k, round(ln(1 / (select sum(n) from f)) * 1000000)::bigint as once from f),
+r as (select id, k, w[2 * k + 1] || w[2 * k + 2] as run, w[2 * k + 1] || ' ' || w[2 * k + 2] as whole from d, unnest(range(len(w) // 2)) as u(k)),
+u as materialized (select distinct run from r),
+e as materialized (select run, i, list({'n': n, 'k': k}) as x from (select run, i, n, substr(run, i, n) as w from u, unnest(range(1, length(run) + 1)) as a(i), unnest(range(1, length(run) - i + 2)) as b(n)) join g using (w) group by 1, 2),
+p as (select run, length(run) + 1 as i, [0::bigint] as best, [''] as paths from u union all
+ select run, i, [c.s] || best, [substr(run, i, c.n) || ' ' || paths[c.n]] || paths from (
+  select p.run, p.i - 1 as i, best, paths, list_max(list_transform(coalesce(e.x, []) || case when len(list_filter(coalesce(e.x, []), lambda y: y.n = 1)) = 0 then [{'n': 1::bigint, 'k': (select min(once) from g)}] else [] end, lambda y: {'s': y.k + best[y.n], 'n': y.n})) as c from p left join e on e.run = p.run and e.i = p.i - 1 where p.i > 1)),
+s as (select run, trim(paths[1]) as words from p where i = 1)"""
+
+
+@query(_PATHS + " select id, sum(1 + length(words) - length(replace(words, ' ', '')))::bigint as n, count(*) filter (words = whole) as n_found, sha256(string_agg(words, ',' order by k)) as digest from r join s using (run) group by id")
+def segmented_words(spark, sf):  # noqa: ANN001, ANN201
+    """Each document's words, by twos without the blank between, divided again by a dictionary of the whole table."""
+    d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w"))
+    dictionary = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    two = lambda k, sep: F.concat(F.col("w")[2 * k], F.lit(sep), F.col("w")[2 * k + 1])
+    k = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.struct(two(k, "").alias("run"), two(k, " ").alias("whole"))))
+    runs = materialised(d.where(F.size("w") > 1).select("id", k.alias("k", "x")).select("id", "k", "x.*"))
+    words = G.segmented_runs(runs, dictionary, G.prefixes(dictionary)).withColumn("words", F.array_join("words", " "))
+    found = runs.join(words, "run").groupBy("id").agg(F.sum(F.size(F.split("words", " "))).cast("long").alias("n"), F.count_if(F.col("words") == F.col("whole")).alias("n_found"), F.array_sort(F.collect_list(F.struct("k", "words"))).alias("x"))
+    return found.select("id", "n", "n_found", F.sha2(F.array_join(F.transform("x", lambda x: x["words"]), ","), 256).alias("digest"))
+
+
+_ASKED = "regexp_extract_all(lower(text), '[a-z]{2,}')"
+
+
+@query(
+    _PATHS.replace("u as materialized (select distinct run from r)", f"b as (select item_id as query_id, unnest({_ASKED}) as run from benchmark),\nu as materialized (select run from r union select run from b)")
+    + """, t as (select id, list_distinct(flatten(list(string_split(words, ' ')))) as t from r join s using (run) group by id),
+q as (select distinct query_id, unnest(string_split(words, ' ')) as token from b join s using (run)),
+st as (select count(*) as n, sum(len(t)) / count(*)::double as avgdl from t), o as (select id, len(t) as dl, unnest(t) as token from t), df as (select token, count(*) as df from o group by 1),
+h as (select query_id, id, count(*) as m, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * 2.5::double / (1 + 1.5::double * (0.25::double + 0.75::double * dl / greatest(1.0::double, avgdl)))), 6) as score from o join q using (token) join df using (token), st group by 1, 2)
+select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from h where m >= 2 qualify rank <= 20"""
+)
+def search_bm25_segmented(spark, sf):  # noqa: ANN001, ANN201
+    """Search over texts whose words stand by twos without the blank between, divided by the dictionary of the whole table."""
+    d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w")).where("size(w) > 1")
+    every = _docs(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
+    dictionary = every.groupBy("word").agg(F.count("*").alias("freq"))
+    two = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.concat(F.col("w")[2 * k], F.col("w")[2 * k + 1]))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(T.words(F.col("text")), " ").alias("text"))
+    divided = lambda texts: G.segmented_texts(texts, dictionary, "[a-z]{2,}").select("id", F.array_join("words", " ").alias("text"))
+    return S.bm25(divided(d.select("id", F.array_join(two, " ").alias("text"))), divided(asked).withColumnRenamed("id", "query_id"), tokens=lambda t: F.array_distinct(F.split(t, " ")))
+
+
 # ---- pieces
 @query("""with l as (select doc_id as id, list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') as r, text from documents)
 select id, k::int as place, sha256(case when len(r) > 1 then r[1] || chr(10) || r[k + 2] else text end) as digest from l, unnest(range(greatest(1, len(r) - 1))) as u(k)""")
