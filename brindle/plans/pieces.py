@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import lists as L
+from brindle.functions import text as T
 from brindle.operators import chunking as C
 from brindle.plans.registry import register
+from brindle.sources import office as O
 from brindle.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -75,3 +77,27 @@ def object_operations(spark, sf):  # noqa: ANN001, ANN201
     full = L.updated(L.value_filtered(obj, "not empty", None), "parity", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"))
     named = L.renamed(full, {"type": "kind"})
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.element_at(L.literals(L.selected(named, ["k"])), "k").cast("long").alias("k"), F.element_at(L.removed(named, ["k"]), "kind").alias("kind"), F.size(L.selected(named, ["kind", "parity", "none"])).alias("n_selected"), F.element_at(named, "parity").alias("parity"))
+
+
+# ---- word-processor and PDF files, made from the documents and read again
+_ROWS = """(select doc_id as id, list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), ' ' || chr(9))), lambda x: x <> '') as l from documents)"""
+
+
+def _line_blocks(spark, sf):  # noqa: ANN001, ANN202
+    """Documents as blocks: a list item for each fifth line, a heading for each seventh, else a paragraph; their texts are the lines."""
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    kind = lambda i: F.when(i % 5 == 4, "list").when(i % 7 == 6, "heading").otherwise("paragraph")
+    blocks = F.transform(T.lines(clean), lambda x, i: F.struct(kind(i).alias("kind"), x.alias("text"), F.when(kind(i) == "heading", 1 + i % 6).cast("int").alias("level")))
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), blocks.alias("blocks"))
+
+
+@query(f"select id, k::int as place, case when k % 5 = 4 then 'list' when k % 7 = 6 then 'heading' else 'paragraph' end as kind, case when k % 5 <> 4 and k % 7 = 6 then (1 + k % 6)::int end as level, sha256(l[k + 1]) as digest from {_ROWS}, unnest(range(len(l))) as u(k)")
+def docx_blocks(spark, sf):  # noqa: ANN001, ANN201
+    rows = O.parsed_files(O.as_files(_line_blocks(spark, sf), "docx"))
+    return rows.select(F.col("title").cast("long").alias("id"), "place", "kind", "level", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"select id, (k + 1)::int as page, case when length(l[k + 1]) <= 80 and right(l[k + 1], 1) not in ('。', '.', '!', '?', '；', ';') then 'heading' else 'paragraph' end as kind, sha256(l[k + 1]) as digest from {_ROWS}, unnest(range(len(l))) as u(k)")
+def pdf_pages(spark, sf):  # noqa: ANN001, ANN201
+    rows = O.parsed_files(O.as_files(_line_blocks(spark, sf), "pdf"))
+    return rows.select(F.col("title").cast("long").alias("id"), "page", "kind", F.sha2("text", 256).alias("digest"))

@@ -1,6 +1,6 @@
 """Files as tables: kinds by content, checked uploads, a store by digest, tables of questions, event lines.
 
-PDF, DOCX and picture content is kept as bytes: their readers need libraries that are not part of this package.
+PDF and DOCX content becomes blocks in sources.office; picture content is kept as bytes.
 """
 
 from __future__ import annotations
