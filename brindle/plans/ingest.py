@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import dates as D
 from brindle.operators import ingest as I
 from brindle.operators import lifecycle as L
+from brindle.operators import neighbours as N
 from brindle.operators import vector_map as M
 from brindle.plans import retrieval as R
 from brindle.plans.registry import register
@@ -79,21 +80,22 @@ def image_search(spark, sf):  # noqa: ANN001, ANN201
     return I.image_search(R.corpus(spark, sf).select("id", "text"), R.asked(spark, sf))
 
 
-@query("select count(*) as n, 0.0::double as low, 1.0::double as high, true as inside from embeddings")
-def vector_map(spark, sf):  # noqa: ANN001, ANN201
-    """Vectors on a plane: all placed, both axes filled from 0 to 1."""
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    _, placed = M.built(v)
-    return placed.agg(F.count("*").alias("n"), F.round(F.min(F.least("x", "y")), 6).alias("low"), F.round(F.greatest(F.max("x"), F.max("y")), 6).alias("high"), F.bool_and(F.col("x").between(0, 1) & F.col("y").between(0, 1)).alias("inside"))
+@query(None)
+def neighbour_graph(spark, sf):  # noqa: ANN001, ANN201
+    """The nearest neighbours of every vector, by neighbour descent (recall measured in the tests)."""
+    return N.graph(R._vectors(spark, sf)[0])
 
 
-_DOT = "list_cosine_similarity(q.embedding::double[], s.embedding::double[])"
+@query(None)
+def vector_map(spark, sf):  # noqa: ANN001, ANN201
+    """Every vector's place on a plane."""
+    return M.built(R._vectors(spark, sf)[0])[1]
 
 
-@query(f"select q.vec_id as query_id, arg_max(s.vec_id, (round({_DOT}, 9), -s.vec_id)) as id from embeddings q, embeddings s where q.vec_id % 50 = 0 and s.vec_id % 50 > 0 group by 1")
+@query("select q.vec_id as query_id, arg_max(s.vec_id, (round(list_cosine_similarity(q.embedding::double[], s.embedding::double[]), 6), -s.vec_id)) as id from embeddings q, embeddings s where q.vec_id % 50 = 0 and s.vec_id <> q.vec_id and list_cosine_similarity(q.embedding::double[], s.embedding::double[]) >= 0.0000005 group by 1")
 def nearest_saved(spark, sf):  # noqa: ANN001, ANN201
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return M.nearest_saved(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), v.where("id % 50 > 0"))
+    vectors, asked = R._vectors(spark, sf)
+    return M.nearest_saved(asked, vectors)
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")

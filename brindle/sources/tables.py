@@ -38,3 +38,12 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/brindle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes the folder of a table that materialised() made and that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if re.fullmatch(r"brindle-[0-9a-f]{32}", name.rpartition("/")[2]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
