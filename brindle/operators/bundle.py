@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.sources.tables import materialised
+
 
 def json_lines(df: DataFrame) -> DataFrame:
     """One compact JSON text per row, keys sorted, nulls written."""
@@ -90,6 +92,33 @@ def content_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(a.cast("decimal(20,0)")).alias("sum"), F.bit_xor(b).alias("xor"))
 
 
+#: Children of a node of a digest tree, and levels of nodes: enough for 2^40 different rows.
+CHILDREN, LEVELS = 1024, 4
+
+
+def tree_digest(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row: the number of rows and the root of a hash tree over all columns of the rows in their order.
+
+    A leaf stands for one different row and its number of copies, at its place in the order (nulls first; equal keys by digest).
+    A node is the digest of its CHILDREN children's digests, LEVELS times over. Places are counted within ranges and added up over
+    ranges, so the root is one whatever the partitions, no task holds more than a range, and a change of order changes it.
+    """
+    field = lambda c: F.coalesce(F.concat(F.lit("v"), F.sha2(F.col(c).cast("string"), 256)), F.lit("n"))
+    one = rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)), F.sha2(F.concat_ws(",", *(field(c) for c in sorted(rows.columns))), 256).alias("d"))
+    keys = [f"k{i}" for i in range(len(order))] + ["d"]
+    leaves = one.groupBy(*keys).agg(F.count("*").alias("copies"))
+    ranges = materialised(leaves.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    level = ranges.withColumn("i", within).join(F.broadcast(starts), "part").select((F.col("start") + F.col("i")).alias("i"), F.concat_ws(":", "d", F.col("copies").cast("string")).alias("d"))
+    for _ in range(LEVELS):
+        nodes = level.groupBy(F.floor(F.col("i") / CHILDREN).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("x"))
+        level = nodes.select("i", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ","), 256).alias("d"))
+    n = ranges.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))
+    return n.join(level.select("d"), F.lit(True), "left").select("n", F.coalesce("d", F.sha2(F.lit(""), 256)).alias("root"))
+
+
 def ordered_digest(rows: DataFrame, group: str, order: str, value: Column) -> DataFrame:
     """group and the digest of its rows' digests in order. A group's digests are gathered, 64 characters a row; for groups of
     bounded size (the rows of one document, one question set)."""

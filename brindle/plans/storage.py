@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brindle.operators import bundle as B
 from brindle.operators import keyed as K
 from brindle.plans.registry import register
-from brindle.sources.tables import table
+from brindle.sources import matrix as M
+from brindle.sources.tables import shared_folder, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -148,12 +151,27 @@ def content_fingerprint(spark, sf):  # noqa: ANN001, ANN201
     return B.ordered_digest(table(spark, sf, "documents"), "source", "doc_id", F.col("text"))
 
 
-@query("select count(*) as n, 1::bigint as n_equal from documents")
+@query("select vec_id::varchar as id, len(embedding)::bigint as size, embedding[1]::double as first, embedding[len(embedding)]::double as last, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total from embeddings")
+def matrix_rows(spark, sf):  # noqa: ANN001, ANN201
+    """All vectors, written as a matrix and read again."""
+    path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}"
+    M.write_matrix(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), path)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return M.read_matrix(spark, path).select("id", F.size("v").cast("long").alias("size"), F.col("v")[0].cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"), F.round(total, 6).alias("total"))
+
+
+_FIELD = "coalesce('v' || sha256({0}::varchar), 'n')"
+_TREE = "with r as (select lang, doc_id, sha256(concat_ws(',', {fields})) as d from documents), l as (select *, count(*) as copies from r group by all), t0 as (select row_number() over (order by lang nulls first, doc_id nulls first, d) - 1 as i, d || ':' || copies as d from l), {levels} select (select count(*) from r) as n, d as root from t{last}".format(
+    fields=", ".join(_FIELD.format(c) for c in sorted(["doc_id", "lang", "n_chars", "source", "text"])),
+    levels=", ".join(f"t{k} as (select i // {B.CHILDREN} as i, sha256(string_agg(d, ',' order by i)) as d from t{k - 1} group by 1)" for k in range(1, B.LEVELS + 1)),
+    last=B.LEVELS,
+)
+
+
+@query(_TREE)
 def content_digests(spark, sf):  # noqa: ANN001, ANN201
-    """The digest of the rows in two orders and partitionings is one."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    both = B.content_digest(d, d.columns).unionByName(B.content_digest(d.repartition(5, "lang").orderBy("text"), d.columns))
-    return both.groupBy("n").agg(F.countDistinct("sum", "xor").alias("n_equal"))
+    """The digest of all documents in the order of language and id."""
+    return B.tree_digest(table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source", "text"), ["lang", "doc_id"])
 
 
 @query(

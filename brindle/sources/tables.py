@@ -26,16 +26,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder (spark.checkpoint.dir) and read again: later plans start from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder (spark.checkpoint.dir) and read again: later plans start from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
