@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
@@ -71,12 +72,13 @@ NOT_WORDS = frozenset("no has with without non".split())
 HEADER_OF = frozenset("article post entry content story main body text title".split())
 CONTENT_WORDS = frozenset("article post entry content story".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Each pattern runs through its text once: nothing that it took is given back.
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTR = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in RAW}
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def _words(value: str) -> list[str]:
@@ -111,67 +113,108 @@ def zone_of(name: str, attributes: str) -> int | None:
     return CONTENT if any(CONTENT_WORDS & set(words) for words in named) else UNMARKED
 
 
+class _Tags:
+    """The tags of a page, one after another, in time in proportion to its length.
+
+    A tag goes to the first > outside of quotes. Where quotes do not close before the page ends, they count as any other sign from
+    there to the place where the reading failed, so no part is read again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.plain = page, page.rfind(">"), 0
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str] | None:
+        """Begin, end, and of an element's tag its name and what stands inside; None where no tag begins at or after a place."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, None, ""
+            if page[begin + 1 : begin + 2] in ("!", "?"):
+                end = page.find(">", begin)
+                return begin, len(page) if end < 0 else end + 1, None, ""
+            if begin > self.last:
+                return None
+            if name := _NAME.match(page, begin):
+                end = _INSIDE.match(page, name.end()).end() if name.end() >= self.plain else page.find(">", name.end())
+                if page[end : end + 1] != ">":
+                    self.plain = end
+                    end = page.find(">", name.end())
+                if end < 0:
+                    return None
+                return begin, end + 1, name, page[name.end() : end]
+            at = begin + 1
+        return None
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """The blocks of a page that markup does not take out, each with how sure it is of the article."""
+    """The blocks of a page that markup does not take out, each with how sure it is of the article.
+
+    An inline element that is taken out leaves its block whole.
+    """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int | None]] = []  # open elements: name, and the zone within (None: taken out)
+    held: Counter[str] = Counter()  # their names
     zone: int | None = UNMARKED
     text: list[str] = []
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
 
     def close_block() -> None:
-        if text:
-            if zone is not None and (block := _SPACE.sub(" ", entities.unescape("".join(text))).strip()):
+        # within what is taken out there is no text; text that waits belongs to the block around it
+        if text and zone is not None:
+            if block := " ".join(entities.unescape("".join(text)).split()):
                 out.append((zone, block))
             text.clear()
 
     def pop_to(place: int) -> None:
         nonlocal zone
-        close_block()
-        del stack[place:]
-        zone = stack[-1][1] if stack else UNMARKED
+        while len(stack) > place:
+            name, inner = stack.pop()
+            held[name] -= 1
+            if inner is not None:
+                close_block()
+            zone = stack[-1][1] if stack else UNMARKED
 
     while at < n:
-        tag = _TAG.search(page, at)
+        tag = tags.next(at)
         if tag is None:
-            rest = page[at:]
-            # an unfinished tag at the very end is markup
-            text.append(re.sub(r"<[A-Za-z/!][^<]*\Z", "", rest))
+            if zone is not None:
+                rest = page[at:]
+                # an unfinished tag at the very end is markup
+                cut = rest.rfind("<")
+                text.append(rest[:cut] if cut >= 0 and re.match(r"<[A-Za-z/!]", rest[cut:]) else rest)
             break
-        if tag.start() > at:
-            text.append(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if name is None:
+        begin, end, found, inside = tag
+        if begin > at and zone is not None:
+            text.append(page[at:begin])
+        at = end
+        if found is None:
             continue
-        name = name.lower()
-        if tag[1]:
+        name = found[2].lower()
+        if found[1]:
             if name in BLOCKS or name in ("td", "th"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        pop_to(k)
-                        break
-                else:
-                    if name in BLOCKS:
-                        close_block()
+                if held[name]:
+                    pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+                elif name in BLOCKS:
+                    close_block()
             elif stack and stack[-1][0] == name:  # an inline element with a zone of its own
                 pop_to(len(stack) - 1)
             continue
         if name in RAW:
-            if not tag[3].rstrip().endswith("/"):
-                end = _RAW_END[name].search(page, at)
-                at = end.end()
-            text.append(" ")
+            if not inside.rstrip().endswith("/"):
+                at = _RAW_END[name].search(page, at).end()
+            if zone is not None:
+                text.append(" ")
             continue
         if name in VOID:
             if name == "hr":
                 close_block()
-            else:
+            elif zone is not None:
                 text.append(" " if name == "br" else "")
             continue
-        if name in ("td", "th"):
+        if name in ("td", "th") and zone is not None:
             text.append(" ")
-        inner = zone_of(name, tag[3])
+        inner = zone_of(name, inside)
         if name in BLOCKS:
             close_block()
             if name not in ("html", "body"):
@@ -181,12 +224,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                     if other == "p" or (other == name and name in ("li", "dt", "dd", "tr")):
                         pop_to(k)
                         break
-                    if other in BLOCKS:
+                    if other in BLOCKS or stack[k][1] is None:
                         break
         elif inner is not None or zone is None:
             continue  # inline elements matter only where they are taken out
-        else:
-            close_block()
         if zone is None:
             # the heading of an article stays, though it stands in the article's own header
             keeps = name in HEADINGS and inner is not None and len(stack) > 1 and stack[-1][0] in ("header", "hgroup") and stack[-2][1] is not None and stack[-2][1] >= MAIN
@@ -196,7 +237,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if name == "hgroup" and zone is None:
             inner = None
         stack.append((name, inner))
+        held[name] += 1
         zone = inner
+    if zone is None:
+        zone = next((z for _, z in reversed(stack) if z is not None), UNMARKED)
     close_block()
     return out
 
