@@ -2,32 +2,33 @@
 
 Each row is a point (language, source, size). Languages and sources are ordered by name, sizes by their logarithm, and each
 dimension is scaled so that all rows together span 0 to 1; the widest dimension of a node is the one with the largest
-deviation of its bytes. Every level of the tree halves all its nodes at once: one histogram per node and dimension gives the
-widest dimension and the slice its weighted median falls into; two finer histograms, of the text hash and of a hash of
-doc_id, place the cut inside that slice. So equal values are cut only where they must be, equal texts stay together except
-where the cut runs through them, and one value that holds a third of all bytes still splits evenly. Only histograms of a
-fixed number of slices come to the driver. A dimension with over SLICES // 2 - 1 names is sliced at those with most bytes
-and at a sample of the others; neighbours between two such names share a slice.
-
-Rules for odd input: a null text has size 1 and the checksum of the empty text; null metadata is a value of its own;
-repeated rows get slots of their own; an empty table gives an empty result; other columns are not read.
+deviation of its bytes. Rows with equal texts are one group: they stand at one point, that of the group's least language and
+source, and go to one shard. Only a group of more than GROUP_SHARE of a shard's bytes may be divided.
+
+Every level of the tree halves all its nodes at once: one histogram per node and dimension gives the widest dimension and the
+slice its weighted median falls into; two finer histograms, of a hash of the text and of another one (in a large group, of
+doc_id), place the cut inside that slice. So equal values are cut only where they must be, and one value that holds a third of
+all bytes still splits evenly. Only histograms of a fixed number of slices come to the driver. A dimension with over NAMED names
+is sliced by the running sum of bytes over all its names in order, found by a distributed sort: a slice then holds about
+1 / SLICES of all bytes, or one name.
+
+Rules for odd input: a null text has size 1 and the checksum of the empty text; null metadata is a value of its own, before
+all others; repeated rows get slots of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.llm.common import whole_text, written
 
 #: Number of shards (a power of two), slices of a histogram, and rows that one counting task numbers.
 SHARDS, SLICES, ROWS_A_BLOCK = 16, 4096, 50_000
+#: Names of a dimension that each get a slice, and the part of a shard's bytes up to which a group of equal texts stays whole.
+NAMED, GROUP_SHARE = SLICES // 2, 0.01
 DIMENSIONS, NAMES = ("lang", "source", "log_size"), ("lang", "source")
 
 
@@ -39,40 +40,45 @@ class Split:
     at: tuple[int, int, int]
 
 
-def _edges(df: DataFrame, name: str) -> list[str]:
-    """Values at which slices of a named dimension begin, in order: all values if they are few enough."""
-    values = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("size").alias("n"))
-    half = SLICES // 2 - 1
-    heavy = values.orderBy(F.desc("n"), name).limit(half).collect()
-    others = values.orderBy(F.xxhash64(name), name).limit(half).collect() if len(heavy) == half else []
-    return sorted({r[name] for r in (*heavy, *others)})
+def _slices(df: DataFrame, name: str) -> DataFrame:
+    """name and slice (from 1, rising with the name) of every value of a dimension: a slice each, or by the running sum of bytes."""
+    values = written(df.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("size").alias("n")).repartitionByRange(name).withColumn("part", F.spark_partition_id()))
+    parts = values.groupBy("part").agg(F.count("*").alias("names"), F.sum("n").alias("bytes")).orderBy("part").collect()  # a row for each range
+    names, total, starts = 0, 0, []
+    for r in parts:
+        starts.append((r["part"], names, total))
+        names, total = names + r["names"], total + r["bytes"]
+    before = Window.partitionBy("part").orderBy(name)
+    at = values.join(F.broadcast(df.sparkSession.createDataFrame(starts, "part int, names long, bytes long")), "part")
+    rank = F.col("names") + F.row_number().over(before)
+    by_bytes = 1 + F.floor((F.col("bytes") + F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) * (SLICES - 2) / max(1, total))
+    return at.select(name, (rank if names <= NAMED else by_bytes).cast("int").alias("slice"))
 
 
-def points(df: DataFrame) -> DataFrame:
+def points(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32 and the coordinates, each a slice number; the slices of names are in the names' order."""
     text = whole_text().cast("binary")
     size = (F.octet_length(text) + 1).cast("long")
-    crc = F.crc32(text)
     has = set(df.columns)
-    named = written(df.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *((F.col(c) if c in has else F.lit(None)).cast("string").alias(c) for c in NAMES)))
-    edges = {c: _edges(named, c) for c in NAMES}
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            for c in NAMES:
-                coded = columns[c].dictionary_encode()
-                # null is a slice of its own, before all others
-                places = pa.array([1 + bisect_right(edges[c], v) for v in coded.dictionary.to_pylist()], pa.int32())
-                columns[c] = places.take(coded.indices).fill_null(0)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    schema = T.StructType([T.StructField(f.name, T.IntegerType()) if f.name in NAMES else f for f in named.schema])
-    return named.mapInArrow(sliced, schema).select(
-        "*",
+    named = written(df.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), *((F.col(c) if c in has else F.lit(None)).cast("string").alias(c) for c in NAMES)))
+    key = ["h", "text_crc32", "size"]
+    groups = named.groupBy(*key).agg(F.min(F.struct(*NAMES)).alias("m"), F.count("*").alias("copies")).where("copies > 1")
+    # equal texts: few numbers a row, and a group that holds many rows is divided by Spark's skew join
+    rows = named.join(groups, key, "left")
+    most = (named.agg(F.sum("size")).first()[0] or 0) / shards * GROUP_SHARE
+    placed = written(rows.select("doc_id", "size", "text_crc32", "h", (F.coalesce("copies", F.lit(1)) * F.col("size") > most).alias("large"), *(F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) for c in NAMES)))
+    for c in NAMES:
+        slices = _slices(placed, c).withColumnRenamed(c, "_name")
+        placed = placed.join(slices, F.col(c) == F.col("_name"), "left").withColumn(c, F.coalesce("slice", F.lit(0))).drop("_name", "slice")
+    pick = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLICES)).cast("int")
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        *NAMES,
         F.least(F.floor(F.log2("size") * (SLICES // 40)), F.lit(SLICES - 1)).cast("int").alias("log_size"),
-        F.pmod(F.xxhash64("text_crc32", "size", F.lit(2)), F.lit(SLICES)).cast("int").alias("fine"),
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES)).cast("int").alias("row"),
+        pick("h", F.lit(2)).alias("fine"),
+        F.when(F.col("large"), pick("doc_id", F.lit(3))).otherwise(pick("h", F.lit(4))).alias("row"),
     )
 
 
@@ -163,8 +169,6 @@ def numbered(df: DataFrame, group: str, key: str, name: str, rows: int) -> DataF
     Rows are dealt into blocks by a hash of the key; numbers run within a block and go on from the blocks before it.
     """
     blocks = max(1, -(-rows // ROWS_A_BLOCK))
-    from pyspark.sql import Window
-
     dealt = df.withColumn("_block", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(blocks)).cast("int"))
     sizes = dealt.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
@@ -178,7 +182,7 @@ def shard_documents(df: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Texts are read once, for size and checksum; all later work is on a few numbers per row.
     """
-    pts = written(points(df))
+    pts = written(points(df, shards))
     rows = pts.count()
     levels = grow_tree(pts, shards) if rows else []
     leaf = pts.select("doc_id", "size", "text_crc32", shard_of(levels).alias("shard"))

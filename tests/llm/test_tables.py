@@ -70,8 +70,67 @@ def test_shards_are_cut_along_the_widest_dimension(spark):
     assert len(held) == 16 and all(len(kinds) == 1 for kinds in held.values())
 
 
+def replayed(rows, shards=16):
+    """The shard of every point (dims, fine, row, size), by plain recursion over lists."""
+    dims = shards_dims = ("lang", "source", "log_size")
+    places = {d: sorted({r[d] for r in rows}) for d in dims}
+    scale = {d: {p: (k if d != "log_size" else p - places[d][0]) / max(1, (len(places[d]) - 1 if d != "log_size" else places[d][-1] - places[d][0])) for k, p in enumerate(places[d])} for d in shards_dims}
+    out = {}
+
+    def deviation(mine, d):
+        total = sum(r["size"] for r in mine)
+        mean = sum(scale[d][r[d]] * r["size"] for r in mine) / total
+        return (sum((scale[d][r[d]] - mean) ** 2 * r["size"] for r in mine) / total) ** 0.5
+
+    def go(mine, node, left):
+        if left == 1:
+            out.update({r["doc_id"]: node for r in mine})
+            return
+        if not mine:
+            return
+        wide = {d: deviation(mine, d) for d in dims}
+        best = max(dims, key=lambda d: (round(wide[d], 9), d))
+        key = lambda r: (r[best], r["fine"], r["row"])
+        half, done, cells = sum(r["size"] for r in mine) / 2, 0, Counter()
+        for r in mine:
+            cells[key(r)] += r["size"]
+        for cell in sorted(cells):
+            if done + cells[cell] > half:
+                cut = (*cell[:2], cell[2] + (half - done > cells[cell] / 2))
+                break
+            done += cells[cell]
+        go([r for r in mine if key(r) < cut], 2 * node, left // 2)
+        go([r for r in mine if key(r) >= cut], 2 * node + 1, left // 2)
+
+    go(rows, 0, shards)
+    return out
+
+
+def test_shards_by_plain_recursion(spark):
+    pts = shards.written(shards.points(table(spark, "/root/testdata/sf0.01", "documents")))
+    want = replayed([r.asDict() for r in pts.collect()])
+    got = {r["doc_id"]: r["s"] for r in pts.select("doc_id", shards.shard_of(shards.grow_tree(pts)).alias("s")).collect()}
+    assert got == want
+
+
+def test_equal_texts_share_a_shard(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang", "source")
+    hot = spark.range(400).select((F.lit(10**6) + F.col("id")).alias("doc_id"), F.lit("a hot text " * 300).alias("text"), F.lit("en").alias("lang"), F.format_string("s%d", F.col("id") % 9).alias("source"))
+    rows = shards.shard_documents(docs.unionByName(hot)).collect()
+    sizes, groups = Counter(), defaultdict(lambda: [set(), 0])
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        groups[r["text_crc32"], r["size"]][0].add(r["shard"])
+        groups[r["text_crc32"], r["size"]][1] += r["size"]
+    mean = sum(sizes.values()) / 16
+    print("shards over mean", max(sizes.values()) / mean, min(sizes.values()) / mean)
+    assert len(sizes) == 16 and max(sizes.values()) < 1.03 * mean and min(sizes.values()) > 0.97 * mean
+    assert all(len(held) == 1 for held, total in groups.values() if total <= shards.GROUP_SHARE * mean)
+    assert sum(len(held) > 1 for held, _ in groups.values()) <= 1
+
+
 def test_shards_of_many_sources_keep_their_order(spark):
-    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("same length").alias("text"), F.lit("en").alias("lang"), F.format_string("s%05d", "id").alias("source"))
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.format_string("text %05d", "id").alias("text"), F.lit("en").alias("lang"), F.format_string("s%05d", "id").alias("source"))
     found = {r["doc_id"]: r["source"] for r in shards.points(df).collect()}
     assert all(found[i] <= found[i + 1] for i in range(9999)) and 3000 < len(set(found.values())) <= shards.SLICES
     firsts = sorted((min(ids), max(ids)) for ids in shards.shard_documents(df).groupBy("shard").agg(F.collect_list("doc_id").alias("ids")).toPandas()["ids"])
