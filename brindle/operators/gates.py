@@ -163,6 +163,25 @@ def asked_field(missing: Column) -> Column:
     return F.coalesce(first, F.get(missing, F.lit(0)), F.lit("symptom"))
 
 
+#: Terms of a service question, what to ask for then, and what to ask for otherwise.
+TOPIC_RULES = [
+    (("付款", "支付方式"), ["订单号", "订单状态（未付款/已付款/已发货）"]),
+    (("收货地址", "改地址"), ["订单号", "订单物流状态", "新的收货地址"]),
+    (("物流", "配送", "送达", "加急"), ["订单号", "收货地区", "当前物流状态"]),
+    (("发票",), ["订单号或其他购买凭证", "购买渠道"]),
+]
+TOPIC_OTHERWISE = ["订单号", "签收时间", "商品使用情况", "问题证据"]
+
+
+def missing_information(question: Column, rules: list[tuple[tuple[str, ...], list[str]]] = TOPIC_RULES, otherwise: list[str] = TOPIC_OTHERWISE) -> Column:
+    """What a service question leaves open: the list of the first rule of whose terms it holds one, in the rules' order."""
+    listed = lambda items: F.array(*map(F.lit, items))
+    out = listed(otherwise)
+    for terms, items in reversed(rules):
+        out = F.when(T.any_term(question, list(terms)), listed(items)).otherwise(out)
+    return out
+
+
 def should_fall_back(confidence: Column, passed: Column, left_ms: Column) -> Column:
     return (confidence < 0.58) | ~passed | (left_ms < 1000)
 

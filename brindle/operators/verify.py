@@ -8,12 +8,14 @@ Odd input: null texts count as empty; a claim without evidence has empty support
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.sources.tables import materialised
 
 _BLANKS = " \t\n\r\x0b\x0c"
 #: Units of measured values, and how evidence may spell them.
@@ -184,3 +186,28 @@ def with_fallback(reports_: DataFrame, answers: DataFrame, evidence: DataFrame)
     rows = answers.join(reports_.select("answer_id", "passed"), "answer_id").join(best, "answer_id", "left")
     swap = ~F.col("passed") & F.col("instead").isNotNull()
     return rows.select("answer_id", F.when(swap, F.col("instead")).otherwise(F.col("answer")).alias("answer"), swap.alias("replaced"))
+
+
+def revised(results: DataFrame, claims: DataFrame, evidence: DataFrame, expected: list[str], revise: Callable[[DataFrame], DataFrame], words: Vocabulary = Vocabulary(), most: int = 10) -> DataFrame:
+    """answer_id, answer, passed, rounds: answers checked and revised until they pass, at most so often; then their best evidence stands in.
+
+    claims also have answer, the text as it stands. revise gets the claims of answers that may be revised, with issues, and gives them
+    anew; it sees only those that are still open, and each round is written before the next.
+    """
+    parts, now, wanted = [], claims, results
+    for turn in range(most + 1):
+        now = materialised(now)
+        report = materialised(reports(wanted, now, evidence, expected, words).select("answer_id", "issues", "passed", "action").withColumn("rounds", F.lit(turn)))
+        again = report.where("action = 'revise'")
+        last = turn == most or again.isEmpty()
+        answers = now.groupBy("answer_id").agg(F.min_by("answer", "claim_id").alias("answer"))
+        parts.append((report if last else report.where("action <> 'revise'")).join(answers, "answer_id", "left").select("answer_id", "answer", "passed", "rounds"))
+        if last:
+            break
+        wanted = wanted.join(again.select("answer_id"), "answer_id", "left_semi")
+        now = revise(now.join(again.select("answer_id", "issues"), "answer_id")).select(*claims.columns)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    kept = with_fallback(out, out.select("answer_id", "answer"), evidence)
+    return out.drop("answer").join(kept, "answer_id").select("answer_id", "answer", "passed", "rounds")
