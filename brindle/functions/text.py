@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words of two letters or more, after lower().
 WORD = r"[a-z]{2,}"
-#: Codes, words and numbers, after lower(); runs of ideographs; codes that must match exactly, after lower().
-TOKEN = r"[a-z]+[0-9]+[a-z0-9-]*|[a-z]{2,}|[0-9]+(?:\.[0-9]+)?"
+#: Codes, words and numbers, after lower() (a run of letters is taken once, never given back); runs of ideographs; codes that must match exactly, after lower().
+TOKEN = r"[a-z]++[0-9]++[a-z0-9-]*+|[a-z]{2,}+|[0-9]++(?:\.[0-9]++)?"
 IDEOGRAPHS = r"[一-鿿]+"
 EXACT = r"\b[a-z]+[0-9]+[a-z0-9-]*\b"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"

@@ -59,10 +59,12 @@ def _marked(codes: Column) -> Column:
 
 def bm25(corpus: DataFrame, queries: DataFrame, top: int = TOP, tokens: Tokens = T.tokens) -> DataFrame:
     """query_id, id, score, rank."""
-    docs = corpus.select("id", tokens(F.col("text")).alias("t"), K.exact_terms(_code_text(corpus)).alias("c"))
-    stats = docs.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("total"))
+    found = corpus.select("id", tokens(F.col("text")).alias("t"), _marked(K.exact_terms(_code_text(corpus))).alias("c"))
+    # texts are tokenized once: the statistics read dl alone, the hits read the terms
+    docs = materialised(found.select("id", F.size("t").alias("dl"), F.concat("t", "c").alias("terms")))
+    stats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
     wanted = queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), _marked(K.exact_terms(F.col("text"))))).alias("term"))
-    terms = docs.select("id", F.size("t").alias("dl"), F.explode(F.concat("t", _marked(F.col("c")))).alias("term"))
+    terms = docs.select("id", "dl", F.explode("terms").alias("term"))
     hits = materialised(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
     is_code = F.startswith("term", F.lit("="))
     df = hits.where(~is_code).groupBy("term").agg(F.count("*").alias("df"))
@@ -81,8 +83,9 @@ def overlap(corpus: DataFrame, queries: DataFrame, top: int | None = 10, tokens:
     codes = F.array_distinct(T.all_of(F.lower(F.col("text")), T.EXACT))
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"), F.size(tokens(F.col("text"))).alias("n_query"), codes.alias("codes"))
     title = tokens(F.col("title")) if has_title else F.array().cast("array<string>")
-    terms = corpus.select("id", title.alias("in_title"), F.explode(tokens(body)).alias("token"))
-    hits = terms.join(wanted, "token").withColumn("in_title", F.array_contains("in_title", F.col("token")).cast("int"))
+    marked = F.transform(tokens(body), lambda t: F.struct(t.alias("token"), F.array_contains(title, t).cast("int").alias("in_title")))
+    terms = corpus.select("id", F.explode(marked).alias("x")).select("id", "x.*")
+    hits = terms.join(wanted, "token")
     is_code = F.array_contains("codes", F.col("token"))
     shared = hits.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.count_if(is_code).alias("n_codes"), F.sum("in_title").alias("n_title"), F.first("n_query").alias("n_query")).where("n >= 2 or n_codes > 0")
     score = 4.0 * F.col("n") / F.col("n_query") + CODE_OVERLAP * F.col("n_codes") + 0.3 * F.col("n_title") + F.log1p(F.col("n"))
