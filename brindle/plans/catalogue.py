@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.plans import flow, gates, ingest, ledger, memory, pieces, retrieval, review, storage, streams, texts, verify
+from brindle.plans import flow, gates, ingest, ledger, memory, pieces, retrieval, review, storage, streams, texts, verify, workflow
 
 ALL: dict = {}
-for _part in (retrieval, texts, pieces, verify, gates, memory, storage, review, streams, ingest, ledger, flow):
+for _part in (retrieval, texts, pieces, verify, gates, memory, storage, review, streams, ingest, ledger, flow, workflow):
     if twice := ALL.keys() & _part.QUERIES.keys():
         raise ValueError(f"queries registered twice: {sorted(twice)}")
     ALL |= _part.QUERIES

@@ -226,23 +226,23 @@ _FIELD_TOK = "regexp_extract_all(lower({}), '[a-z]{{2,}}')"
 @query(
     f"""with f as (select id, field, {_FIELD_TOK.format('body')} as t from (select id, 'title' as field, title || ' ' || lang as body from {_D} union all select id, 'text', text from {_D})), m as (select field, avg(len(t)) as mean from f group by 1), n as (select count(*) as n from documents),
 h as (select id, field, dl, token, count(*) as tf from (select id, field, len(t) as dl, unnest(t) as token from f) group by all), df as (select field, token, count(*) as df from h group by 1, 2), q as (select query_id, token, count(*) as asked from (select query_id, unnest({_FIELD_TOK.format('text')}) as token from {_Q}) group by 1, 2)
-select query_id, id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * greatest(dl, 1) / case when mean > 0 then mean else 1 end)) * least(asked, 2)), 6) as score from h join df using (field, token) join m using (field) join q using (token), n where query_id % 10 = 0 group by 1, 2"""
+select query_id, id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * greatest(dl, 1) / case when mean > 0 then mean else 1 end)) * least(asked, 2)), 6) as score from h join df using (field, token) join m using (field) join q using (token), n group by 1, 2"""
 )
 def search_fields(spark, sf):  # noqa: ANN001, ANN201
-    """Term frequencies of two fields; every tenth query."""
+    """Term frequencies of two fields."""
     c = corpus(spark, sf).select("id", F.concat_ws(" ", "title", "lang").alias("title"), "text")
-    return S.fields_bm25(c, asked(spark, sf).where("query_id % 10 = 0"), ["title", "text"], lambda t: T.all_of(F.lower(t), "[a-z]{2,}"))
+    return S.fields_bm25(c, asked(spark, sf), ["title", "text"], lambda t: T.all_of(F.lower(t), "[a-z]{2,}"))
 
 
 @query(
-    f"""with p as (select id, unnest({_FIELD_TOK.format('text')}) as token, generate_subscripts({_FIELD_TOK.format('text')}, 1) - 1 as pos from {_D}), q as (select distinct query_id, token from (select query_id, unnest({_FIELD_TOK.format('text')}) as token from {_Q} where query_id % 10 = 0) where length(token) >= 6),
+    f"""with p as (select id, unnest({_FIELD_TOK.format('text')}) as token, generate_subscripts({_FIELD_TOK.format('text')}, 1) - 1 as pos from {_D}), q as (select distinct query_id, token from (select query_id, unnest({_FIELD_TOK.format('text')}) as token from {_Q}) where length(token) >= 6),
 h as (select query_id, id, pos, token from p join q using (token)), v as (select a.query_id, a.id, a.pos, count(distinct b.token) as n, min(b.pos) as first from h a join h b on a.query_id = b.query_id and a.id = b.id and b.pos between a.pos - 22 and a.pos group by a.query_id, a.id, a.pos), w as (select *, pos - first as span from v),
 x as (select query_id, id, n, span from w qualify row_number() over (partition by query_id, id order by n desc, span) = 1) select query_id, id, round(2.6::double * (n + 1.5::double * greatest(0, 23 - span) / 23.0::double), 6) as bonus from x where n >= 2"""
 )
 def proximity_bonus(spark, sf):  # noqa: ANN001, ANN201
     t = T.all_of(F.lower(F.col("text")), "[a-z]{2,}")
     places = corpus(spark, sf).select("id", F.posexplode(t).alias("pos", "term"))
-    wanted = asked(spark, sf).where("query_id % 10 = 0").select("query_id", F.explode(F.array_distinct(t)).alias("term")).where("length(term) >= 6")
+    wanted = asked(spark, sf).select("query_id", F.explode(F.array_distinct(t)).alias("term")).where("length(term) >= 6")
     return S.proximity(places.join(wanted, "term"), 22, 2.6)
 
 
