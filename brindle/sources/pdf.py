@@ -167,6 +167,13 @@ class File:
     data: bytes
     objects: dict[int, object] = field(default_factory=dict)
     trailer: dict = field(default_factory=dict)
+    fonts: dict[int, tuple[dict, Font]] = field(default_factory=dict)
+
+    def font(self, facts: dict) -> Font:
+        """A font, read once for all pages (the facts are kept, so that no other object gets their number)."""
+        if id(facts) not in self.fonts:
+            self.fonts[id(facts)] = (facts, Font(self, facts))
+        return self.fonts[id(facts)][1]
 
     def __post_init__(self) -> None:
         if not self.data.startswith(b"%PDF-"):
@@ -344,7 +351,6 @@ class Page:
 
     def __init__(self, file: File) -> None:
         self.file, self.blocks, self.lines, self.line = file, [], [], ""
-        self.fonts: dict[int, Font] = {}
         self.end: tuple[float, float] | None = None
         self.size, self.pictures = 1.0, 0
 
@@ -414,9 +420,7 @@ class Page:
                 matrix = start = one
             elif x == "Tf" and len(held) >= 2:
                 facts = file.facts(fonts.get(held[-2]))
-                if id(facts) not in self.fonts:
-                    self.fonts[id(facts)] = Font(file, facts)
-                font, size = self.fonts[id(facts)], float(held[-1])
+                font, size = file.font(facts), float(held[-1])
             elif x in ("Td", "TD") and len(numbers) >= 2:
                 leading = -numbers[-1] if x == "TD" else leading
                 move(*numbers[-2:])
