@@ -72,11 +72,17 @@ def any_term(text: Column, terms: list[str]) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(re.escape(t) for t in terms))
 
 
+def redaction(x: Column) -> Column:
+    """What stands for a redacted identifier: ten digits of its checksum."""
+    return F.concat(F.lit("[已脱敏:"), F.substring(F.sha2(x, 256), 1, 10), F.lit("]"))
+
+
 def redacted(text: Column) -> Column:
-    """Runs of eight digits or more become a token with the first ten digits of their checksum."""
-    found = F.array_distinct(all_of(text, "[0-9]{8,}"))
-    longest_first = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest_first, F.coalesce(text, F.lit("")), lambda acc, x: F.replace(acc, x, F.concat(F.lit("[id:"), F.substring(F.sha2(x, 256), 1, 10), F.lit("]"))))
+    """Runs of eight digits or more become a token, in one pass: what stands before each run, then its token, then the rest."""
+    body = F.coalesce(text, F.lit(""))
+    long = all_of(body, "[0-9]{8,}")
+    plain = F.split(body, "[0-9]{8,}")
+    return F.array_join(F.transform(plain, lambda x, i: F.concat(x, F.coalesce(redaction(F.get(long, i)), F.lit("")))), "")
 
 
 def exact_and_units(low: Column) -> Column:
@@ -252,10 +258,9 @@ def identifiers(text: Column) -> Column:
 def redacted_record(text: Column, known: Column, most: int = 1000) -> Column:
     """A text without identifiers: known ones (of the whole record), labelled ones and runs of eight digits or more become
     a token with ten digits of their checksum; the result is cut to a length."""
-    token = lambda x: F.concat(F.lit("[已脱敏:"), F.substring(F.sha2(x, 256), 1, 10), F.lit("]"))
     all_known = F.array_union(known, identifiers(text))
     longest_first = F.array_sort(all_known, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    out = F.aggregate(longest_first, F.coalesce(text, F.lit("")), lambda acc, x: F.replace(acc, x, token(x)))
+    out = F.aggregate(longest_first, F.coalesce(text, F.lit("")), lambda acc, x: F.replace(acc, x, redaction(x)))
     long = F.array_distinct(all_of(out, "(?<![0-9])[0-9]{8,}(?![0-9])"))
-    out = F.aggregate(F.array_sort(long, lambda a, b: F.length(b) - F.length(a)), out, lambda acc, x: F.replace(acc, x, token(x)))
+    out = F.aggregate(F.array_sort(long, lambda a, b: F.length(b) - F.length(a)), out, lambda acc, x: F.replace(acc, x, redaction(x)))
     return F.substring(out, 1, most)

@@ -230,10 +230,15 @@ def retrieval_question(spark, sf):  # noqa: ANN001, ANN201
     return turns.select("conv_id", "turn", T.lines_before(F.concat("text", F.lit("\nmemory: old\nmore")), "memory:").alias("question"))
 
 
-@query("select doc_id as id, (doc_id % 1000)::int as first, 7 as second, 2 as n from documents")
+@query("select doc_id as id, array_to_string(list_transform(range(doc_id % 6), lambda k: (doc_id * 7 + k * 131) % 1000), ',') as cited from documents")
 def citation_parse(spark, sf):  # noqa: ANN001, ANN201
-    found = T.citations(F.concat("text", F.lit(" [ID:"), (F.col("id") % 1000).cast("string"), F.lit("] and [ID: ٧]")))
-    return _docs(spark, sf).select("id", found[F.size(found) - 2].alias("first"), found[F.size(found) - 1].alias("second"), F.least(F.size(found), F.lit(2)).alias("n"))
+    """Up to five citations among each document's words, every second one in other digits, with and without a blank."""
+    number = lambda k: ((F.col("id") * 7 + k * 131) % 1000).cast("string")
+    shown = lambda k: F.when(k % 2 == 1, F.translate(number(k), "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(number(k))
+    plain = F.replace(F.col("text"), F.lit("[ID:"), F.lit("[id:"))
+    ks = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: k < F.col("id") % 6)
+    said = F.array_join(F.transform(ks, lambda k: F.concat(F.lit(" [ID:"), F.when(k % 3 == 0, " ").otherwise(""), shown(k), F.lit("] "), F.substring(plain, k * 40 + 1, F.lit(40)), F.lit(" [ID:] [ID:x1]"))), "")
+    return _docs(spark, sf).select("id", F.array_join(T.citations(F.concat("text", said)).cast("array<string>"), ",").alias("cited"))
 
 
 @query("select doc_id as id, case when lang = 'en' then '导入章节 ' || doc_id when doc_id % 3 = 0 then '第 ' || doc_id || ' 页' else '第 ' || doc_id || '-' || (doc_id + doc_id % 3) || ' 页' end as label from documents")

@@ -46,25 +46,35 @@ def verify_measures(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", V.measure_supported(minutes, ranged).alias("in_range"), V.measure_supported(month, dated).alias("in_date"), V.measure_supported(F.lit("7cm"), ranged).alias("same"))
 
 
-@query("select doc_id as id, doc_id % 3 = 1 as wrong from documents")
+@query(
+    _PAIRS
+    + """, s as (select conv_id, turn, text, regexp_extract_all(lower(coalesce(before, '')), '[a-z]{4,}')[1:4] as steps from a), w as (select *, list_filter(list_transform(steps, lambda x: instr(text, x)), lambda p: p > 0) as places from s)
+select conv_id, turn, len(steps)::bigint as n_steps, len(steps) >= 2 and len(places) >= 2 and places <> list_sort(places) as wrong from w"""
+)
 def verify_steps(spark, sf):  # noqa: ANN001, ANN201
-    """Three numbered steps; every third claim turns two of them round."""
-    n = F.col("doc_id").cast("string")
-    support = F.concat(F.lit("1. open "), n, F.lit("\n2. wipe "), n, F.lit("\n3. shut "), n)
-    right, wrong = F.concat(F.lit("open "), n, F.lit(", wipe "), n, F.lit(", shut "), n), F.concat(F.lit("wipe "), n, F.lit(", open "), n)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), V.steps_out_of_order(F.when(F.col("doc_id") % 3 == 1, wrong).otherwise(right), support).alias("wrong"))
+    """The first four long words of the turn before, as numbered steps, against their order in each answer."""
+    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce("before", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), 1, 4)
+    support = F.array_join(F.transform(words, lambda w, i: F.concat((i + 1).cast("string"), F.lit(". "), w)), "\n")
+    return _turns(spark, sf).select("conv_id", "turn", F.size(words).cast("long").alias("n_steps"), V.steps_out_of_order(F.col("text"), support).alias("wrong"))
+
 
+#: Parts of words of the invented prose in the place of terms.
+PARTS = V.Vocabulary(prohibition=("tion", "ouch"), continuation="ment|ing", negation=("la", "re"), commitment=("eaux", "tion", "and", "der"), deadline="[a-z]+oi|[a-z]+th", certainty=("aux", "the"), qualifier=("eur", "ver"))
 
-@query("select doc_id as id, doc_id % 2 = 0 and doc_id % 3 = 0 as contradicts, case when doc_id % 5 = 0 then 'free repair,3 days' when doc_id % 5 < 3 then '3 days' else '' end as promises, doc_id % 7 = 0 as promoted from documents")
+
+@query(
+    _PAIRS
+    + """, c as (select conv_id, turn, text, coalesce(before, '') as before, regexp_extract(text, '(?s)^(.*?)(?:ment|ing)', 1) as upto from a)
+select conv_id, turn, regexp_matches(lower(before), 'tion|ouch') and regexp_matches(text, 'ment|ing') and not regexp_matches(lower(right(upto, 3)), 'la|re') as contradicts,
+ array_to_string(list_sort(list_filter(list_distinct(list_filter(['eaux', 'tion', 'and', 'der'], lambda t: contains(text, t)) || regexp_extract_all(text, '[a-z]+oi|[a-z]+th')), lambda t: not contains(regexp_replace(before, '\\s+', '', 'g'), t))), ',') as promises,
+ turn % 4 = 1 and not regexp_matches(lower(text), 'eur|ver') and regexp_matches(lower(text), 'aux|the') as promoted from c"""
+)
 def verify_commitments(spark, sf):  # noqa: ANN001, ANN201
-    """Prohibitions, promises, and observations told as facts, on texts put together from the numbers of documents."""
-    i = F.col("doc_id")
-    forbids = F.when(i % 2 == 0, "You must never run it.").otherwise("It runs.")
-    goes_on = F.when(i % 3 == 0, "You may continue.").otherwise("Do notmay continue.")
-    offer = F.when(i % 5 == 0, "free repair within 3 days").when(i % 5 < 3, "repair within 3 days").otherwise("repair within 3 days of June")
-    policy = F.when(i % 5 > 2, "repair takes 3 days").otherwise("repair takes long")
-    seen = F.when(i % 7 == 0, "It is confirmed").when(i % 7 == 1, "perhaps confirmed").otherwise("It is so")
-    return table(spark, sf, "documents").select(i.alias("id"), V.contradicts_prohibition(goes_on, forbids, WORDS).alias("contradicts"), F.array_join(V.unsupported_commitments(offer, policy, WORDS), ",").alias("promises"), V.promotes_observation(seen, F.array(F.lit("vision")), WORDS).alias("promoted"))
+    """Prohibitions, promises, and observations told as facts: each answer against the turn before."""
+    claim, support = F.col("text"), F.coalesce("before", F.lit(""))
+    kinds = F.when(F.col("turn") % 4 == 1, F.array(F.lit("vision"), F.lit("ocr"))).when(F.col("turn") % 4 == 3, F.array(F.lit("vision"), F.lit("manual"))).otherwise(F.array().cast("array<string>"))
+    promises = F.array_join(F.array_sort(V.unsupported_commitments(claim, support, PARTS)), ",")
+    return _turns(spark, sf).select("conv_id", "turn", V.contradicts_prohibition(claim, support, PARTS).alias("contradicts"), promises.alias("promises"), V.promotes_observation(claim, kinds, PARTS).alias("promoted"))
 
 
 def _answers(spark, sf):  # noqa: ANN001, ANN202

@@ -40,7 +40,7 @@ def test_redacted_identifiers(spark):
     from brindle.functions import text as T
 
     row = spark.createDataFrame([("order 1234567890 and 12345678, again 1234567890, short 123",)], "text string").select(T.redacted(F.col("text"))).first()[0]
-    assert "1234567890" not in row and "12345678," not in row and row.count("[id:c775e7b757]") == 2 and "short 123" in row
+    assert "1234567890" not in row and "12345678," not in row and row.count("[已脱敏:c775e7b757]") == 2 and "short 123" in row
 
 
 def test_stream_matches_batch(spark, sf, tmp_path):
