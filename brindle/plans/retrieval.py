@@ -159,6 +159,39 @@ def hybrid_parent_rank(spark, sf):  # noqa: ANN001, ANN201
     return _found(spark, sf).select("query_id", "parent_id", "score", "n_hits", F.round("lexical", 6).alias("lexical"), F.round("dense", 6).alias("dense"), F.array_join("matched", ",").alias("matched"), "rank")
 
 
+#: A filtered corpus: documents of two languages from sources whose name does not end in 3; vectors of these documents alone.
+_SOME = f"(select * from {_D} where lang in ('en', 'fr') and not ends_with(title, '3'))"
+_NEAR = f"""
+with v as (select vec_id as id, embedding::double[] as v from embeddings),
+s as (select q.id // 50 as query_id, v.id, round(greatest(0, coalesce(list_cosine_similarity(v.v, q.v), 0)), 6) as score from v, v q where q.id % 50 = 0 and v.id <> q.id // 50 and v.id in (select id from {_SOME}) and q.id // 50 in (select item_id from benchmark))
+select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from s where score > 0 qualify rank <= 20"""
+_EXPLAINED = (
+    f"""
+with lx as ({_bm25_sql('').replace(_D, _SOME)}), dn as ({_NEAR}),
+f as (select coalesce(lx.query_id, dn.query_id) as query_id, coalesce(lx.id, dn.id) as id, lx.rank as lex_rank, dn.rank as dense_rank, lx.score as lex_score, dn.score as dense_score,
+ round(coalesce(1.0::double / (60 + lx.rank), 0) + coalesce(1.0::double / (60 + dn.rank), 0), 8) as rrf from lx full outer join dn on lx.query_id = dn.query_id and lx.id = dn.id),
+t as (select *, row_number() over (partition by query_id order by rrf desc, coalesce(lex_rank, 1000000), dense_rank)::int as place from f qualify place <= 20)"""
+    + _PARENTS.removeprefix(_FUSED)
+)
+
+
+@query(
+    _EXPLAINED
+    + """ select query_id, 'parent' as stage, parent_id, score, rank, '' as mode, '' as reason from r union all select b.item_id, 'rejected', null, null, null, case when b.item_id in (select query_id from dn) then 'hybrid' else 'lexical-only' end,
+ case when exists (select 1 from s where s.query_id = b.item_id and s.score >= 0.012) then 'codes-missing' else 'below-threshold' end from benchmark b where b.item_id not in (select query_id from r)"""
+)
+def search_explained(spark, sf):  # noqa: ANN001, ANN201
+    """The whole search over some products and datasets: the parents that it finds, and why other queries find none."""
+    c = corpus(spark, sf).withColumn("product", F.col("title")).withColumn("dataset_id", F.col("lang"))
+    products = [r["title"] for r in c.select("title").distinct().where(~F.endswith("title", F.lit("3"))).collect()]  # the caller's choice
+    vectors, queries = _vectors(spark, sf)[0], asked(spark, sf)
+    near = vectors.where("id % 50 = 0").select(F.floor(F.col("id") / 50).cast("long").alias("query_id"), "v").join(queries.select("query_id"), "query_id", "left_semi")
+    stages = S.explained(c, queries, vectors, near, products=products, datasets=["en", "fr"])
+    none = lambda kind: F.lit(None).cast(kind)
+    found = stages["parent"].select("query_id", F.lit("parent").alias("stage"), "parent_id", "score", "rank", F.lit("").alias("mode"), F.lit("").alias("reason"))
+    return found.unionByName(stages["rejected"].select("query_id", F.lit("rejected").alias("stage"), none("long").alias("parent_id"), none("double").alias("score"), none("int").alias("rank"), "mode", "reason"))
+
+
 @query(_PARENTS + " select query_id, rank, 'evidence:' || r.parent_id as evidence_id, title, sha256(text) as digest, score, round(least(0.99::double, 0.5::double + least(0.4::double, 8 * score)), 4) as confidence from r join " + _D + " d on d.id = matched[1]")
 def evidence_projection(spark, sf):  # noqa: ANN001, ANN201
     return S.evidence(_found(spark, sf), corpus(spark, sf)).select("query_id", "rank", "evidence_id", "title", F.sha2("text", 256).alias("digest"), "score", "confidence")
