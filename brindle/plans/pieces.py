@@ -56,12 +56,23 @@ def chunk_soft_boundary(spark, sf):  # noqa: ANN001, ANN201
     return lists.select("id", "n", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ","), 256).alias("digest"))
 
 
-@query("select doc_id as id, 0 as section, least(2, greatest(1, len(list_filter(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12)) <> '')) - 1))::int as place, case when regexp_matches(lower(source || ' ' || text), 'tion') then 'noun' when regexp_matches(lower(source || ' ' || text), 'ouch') then 'other' end as product from documents where length(text) between 1 and 520 and trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+#: Windows of texts over 520 characters, as in chunk_soft_boundary: id and number.
+_WINDOWS = """with recursive d as (select doc_id as id, text as t from documents where length(text) > 520),
+w as (select id, t, 0 as place, 1 as s, substr(t, 1, 520) as raw from d union all
+ select id, t, place + 1, greatest(s + 1, e - 70), substr(t, greatest(s + 1, e - 70), 520) from (select *, s + case when b > 261 then b else length(raw) end as e from (select *, greatest(length(raw) + 1 - coalesce(nullif(instr(reverse(raw), chr(10)), 0), length(raw) + 1), length(raw) + 1 - coalesce(nullif(instr(reverse(raw), '。'), 0), length(raw) + 1)) as b from w)) where e <= length(t)),
+c as (select id, count(*) as n from (select id, substr(raw, 1, case when b > 261 then b else length(raw) end) as p from (select *, greatest(length(raw) + 1 - coalesce(nullif(instr(reverse(raw), chr(10)), 0), length(raw) + 1), length(raw) + 1 - coalesce(nullif(instr(reverse(raw), '。'), 0), length(raw) + 1)) as b from w)) where trim(p, ' ' || chr(10) || chr(9) || chr(13)) <> '' group by 1)"""
+
+
+@query(
+    _WINDOWS
+    + """, l as (select doc_id, source, text, len(list_filter(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12)) <> '')) as lines from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+select doc_id as id, 0 as section, case when lines > 2 then lines - 1 else coalesce(c.n, 1) end::bigint as n, case when regexp_matches(lower(source || ' ' || text), 'tion') then 'noun' when regexp_matches(lower(source || ' ' || text), 'ouch') then 'other' end as product from l left join c on c.id = doc_id"""
+)
 def chunk_profiles(spark, sf):  # noqa: ANN001, ANN201
-    """Short documents by the table profile, at most two pieces of each; and the product class of their text."""
-    d = table(spark, sf, "documents").where("length(text) between 1 and 520").where(F.btrim("text", F.lit(" \t\n\r")) != "").select(F.col("doc_id").alias("id"), F.lit(0).alias("section"), F.col("source").alias("title"), "text")
+    """Whole documents by the table profile (those of one row by windows): the number of pieces, and the product class of their text."""
+    d = spread(table(spark, sf, "documents")).where(F.btrim("text", F.lit(" \t\n\r")) != "").select(F.col("doc_id").alias("id"), F.lit(0).alias("section"), F.col("source").alias("title"), "text")
     made = C.chunks(d, "table", {"noun": ["tion"], "other": ["ouch"]})
-    return made.groupBy("id", "section", "product").agg(F.least(F.lit(2), F.count("*")).cast("int").alias("place"))
+    return made.groupBy("id", "section", "product").agg(F.count("*").alias("n"))
 
 
 @query("select event_id as id, event_type || '-' || user_id as merged, (list_sort([user_id, event_id % 7, 3]))[1] as least, case when event_id % 7 = 3 then 2 when user_id = 3 then 2 when user_id = event_id % 7 then 2 else 3 end::int - case when event_id % 7 = 3 and user_id = 3 then 1 else 0 end as n, 3::bigint as last, user_id > 5 and not contains(event_type, 'e') as held, case when event_id % 3 = 0 then null else value / (event_id % 3) end as share from events where value is not null")

@@ -8,7 +8,7 @@ from brindle.operators import assets as A
 from brindle.operators import evaluation as E
 from brindle.operators import views as U
 from brindle.plans.registry import register
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -144,12 +144,12 @@ def map_hits(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query(
-    """with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, vec_id % 3 as priority from embeddings), d as (select a.id, b.id as near_id, b.priority, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) as d from p a, p b where a.id % 5 = 0 and b.id % 5 > 0),
+    """with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, vec_id % 3 as priority from embeddings), d as (select a.id, b.id as near_id, b.priority, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) as d from p a, p b where a.id % 50 = 0),
 m as (select *, min(d) over (partition by id) as least from d where d <= 0.05) select id, near_id, d from m where d <= least + 0.01 qualify row_number() over (partition by id order by priority desc, d, near_id) = 1"""
 )
 def nearest_by_priority(spark, sf):  # noqa: ANN001, ANN201
     p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (F.col("vec_id") % 3).alias("priority"))
-    return U.nearest_within(p.where("id % 5 = 0"), p.where("id % 5 > 0"), 0.05, 0.01)
+    return U.nearest_within(p.where("id % 50 = 0"), p, 0.05, 0.01)
 
 
 @query("select (event_id // 4)::varchar as request_id, coalesce(arg_max(event_type, event_id) filter (where event_type <> 'view'), 'span') as model from events group by 1")
@@ -158,10 +158,15 @@ def effective_models(spark, sf):  # noqa: ANN001, ANN201
     return U.effective_model(e, e.select("request_id").distinct().withColumn("model", F.lit("span")))
 
 
-@query("select doc_id as id, 'one ' as first, lang as asset, 3::int as n from documents")
+@query(
+    """with d as (select doc_id as id, string_split(regexp_replace(text, ' (?:de|the|and) ', '<PIC>', 'g'), '<PIC>') as p, case when lang = source then [lang] else [lang, source] end as a from documents)
+select id, k::int as place, case when k < len(p) then sha256(p[k + 1]) end as digest, a[k + 1] as asset from d, unnest(range(greatest(len(p), len(a)))) as u(k)"""
+)
 def text_and_assets(spark, sf):  # noqa: ANN001, ANN201
-    parts = U.paired(F.lit("one <PIC> two <PIC>"), F.array("lang", "lang", "source"))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), parts[0]["text"].alias("first"), parts[0]["asset"].alias("asset"), F.size(parts).alias("n"))
+    """Whole texts cut at their marks (here: some small words), each part with its asset; equal assets count once."""
+    parts = U.paired(F.regexp_replace("text", " (?:de|the|and) ", "<PIC>"), F.array("lang", "source", "lang"))
+    rows = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.posexplode(parts).alias("place", "x"))
+    return rows.select("id", "place", F.sha2("x.text", 256).alias("digest"), F.col("x.asset").alias("asset"))
 
 
 @query("select p_partkey as id, case when p_partkey % 2 = 0 then 2 else 0 end::int as n, case when p_partkey % 3 = 0 then 0 else 2 end::int as dimension, p_brand || '|' || p_type as facts from part")

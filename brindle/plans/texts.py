@@ -241,9 +241,11 @@ def citation_parse(spark, sf):  # noqa: ANN001, ANN201
     return _docs(spark, sf).select("id", F.array_join(T.citations(F.concat("text", said)).cast("array<string>"), ",").alias("cited"))
 
 
-@query("select doc_id as id, case when lang = 'en' then '导入章节 ' || doc_id when doc_id % 3 = 0 then '第 ' || doc_id || ' 页' else '第 ' || doc_id || '-' || (doc_id + doc_id % 3) || ' 页' end as label from documents")
+@query("select l_orderkey, l_linenumber, case when l_returnflag = 'R' then '导入章节 ' || l_partkey when l_quantity::bigint % 4 = 0 then '第 ' || l_partkey || ' 页' else '第 ' || l_partkey || '-' || (l_partkey + l_quantity::bigint % 4) || ' 页' end as label from lineitem")
 def locator_label(spark, sf):  # noqa: ANN001, ANN201
-    return _docs(spark, sf).select("id", T.locator(F.col("id"), F.col("id") + F.col("id") % 3, F.col("lang") == "en").alias("label"))
+    """Where each line item's part stands: imported sections for returned ones, else one page or several."""
+    first = F.col("l_partkey")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.locator(first, first + F.col("l_quantity").cast("long") % 4, F.col("l_returnflag") == "R").alias("label"))
 
 
 _MARK = "'[已脱敏:' || substr(sha256({}), 1, 10) || ']'"
