@@ -169,12 +169,18 @@ def text_and_assets(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("id", "place", F.sha2("x.text", 256).alias("digest"), F.col("x.asset").alias("asset"))
 
 
-@query("select p_partkey as id, case when p_partkey % 2 = 0 then 2 else 0 end::int as n, case when p_partkey % 3 = 0 then 0 else 2 end::int as dimension, p_brand || '|' || p_type as facts from part")
+@query(
+    """select p_partkey as id, case p_partkey % 5 when 0 then '' when 1 then '' else array_to_string(string_split(p_name, ' '), '|') end as tags, case when p_partkey % 3 = 0 then 0 else p_size % 7 end::int as dimension,
+ array_to_string(list_filter(list_transform(string_split(p_brand || ',' || p_type || ',' || p_name, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as facts from part"""
+)
 def contract_views(spark, sf):  # noqa: ANN001, ANN201
-    p = table(spark, sf, "part")
+    """Parts as records of a contract: JSON lists of their names' words, objects and broken lists as empty ones, vectors as sizes, facts split at commas of both kinds."""
     k = F.col("p_partkey")
-    rows = p.select(k.alias("id"), F.when(k % 2 == 0, '["a","b"]').otherwise("no list").alias("tags"), F.when(k % 3 > 0, F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"), U.split_facts(F.concat(F.lit(" "), "p_brand", F.lit(" , "), "p_type", F.lit("，\n"), "p_brand")).alias("f"))
-    return U.contract(rows, ["tags"]).select("id", F.size("tags").alias("n"), "dimension", F.array_join("f", "|").alias("facts"))
+    tags = F.when(k % 5 == 0, "no list").when(k % 5 == 1, F.to_json(F.struct("p_name"))).otherwise(F.to_json(F.split("p_name", " ")))
+    vector = F.when(k % 3 > 0, F.slice(F.array_repeat(F.lit(0.5), 7), F.lit(1), F.col("p_size") % 7))
+    facts = U.split_facts(F.concat(F.lit(" "), "p_brand", F.lit(" , "), "p_type", F.lit("，\n"), "p_name", F.lit(",,")))
+    rows = table(spark, sf, "part").select(k.alias("id"), tags.alias("tags"), vector.alias("embedding"), facts.alias("f"))
+    return U.contract(rows, ["tags"]).select("id", F.array_join("tags", "|").alias("tags"), "dimension", F.array_join("f", "|").alias("facts"))
 
 
 @query("with a as (select l_orderkey as case_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, p_brand as name from lineitem join part on p_partkey = l_partkey where p_size > 10), f as (select case_id, name, min(pos) as pos from a group by 1, 2), k as (select *, row_number() over (partition by case_id order by pos) as r from f) select o.case_id, coalesce(string_agg(name, ',' order by r) filter (where r <= 2), '') as names from (select distinct l_orderkey as case_id from lineitem) o left join k using (case_id) group by 1")
