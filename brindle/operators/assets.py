@@ -13,18 +13,24 @@ def matched(insights: DataFrame, candidates: DataFrame) -> DataFrame:
     """insight_id, asset_id, document_id and strategy: sha256, stem, ambiguous or unmatched.
 
     insights: insight_id, sha256, file_name, image_id; candidates: asset_id, document_id, sha256, source_name. A digest decides
-    where one picture has it, several are ambiguous; else the stems of the file name and image id. Only counts and the least
-    id are gathered per description.
+    where one picture has it, several are ambiguous; else the stems of the file name and image id. Candidates are one row a digest
+    or stem before descriptions meet them: its least and largest id tell none, one and several apart.
     """
+    first = F.struct("asset_id", "document_id")
 
-    def found(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("insight_id").agg(F.countDistinct("asset_id").alias(f"n_{name}"), F.min(F.struct("asset_id", "document_id")).alias(name))
+    def of_key(key: Column) -> DataFrame:
+        rows = candidates.select("asset_id", "document_id", key.alias("key")).where("key <> ''")
+        return rows.groupBy("key").agg(F.min("asset_id").alias("lo"), F.max("asset_id").alias("hi"), F.min(first).alias("x"))
+
+    def found(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+        several = F.when(F.min("lo").isNull(), 0).when(F.min("lo") == F.max("hi"), 1).otherwise(2)
+        return rows.where("key <> ''").join(keys, "key").groupBy("insight_id").agg(several.alias(f"n_{name}"), F.min("x").alias(name))
 
     digest = F.lower(F.btrim(F.coalesce("sha256", F.lit(""))))
-    by_digest = insights.select("insight_id", digest.alias("d")).where("d <> ''").join(candidates.select("asset_id", "document_id", F.lower("sha256").alias("d")), "d")
+    by_digest = insights.select("insight_id", digest.alias("key"))
     stems = F.explode(F.array_distinct(F.array(T.stem(F.col("file_name")), T.stem(F.col("image_id")))))
-    by_stem = insights.select("insight_id", stems.alias("s")).where("s <> ''").join(candidates.select("asset_id", "document_id", T.stem(F.col("source_name")).alias("s")), "s")
-    out = insights.select("insight_id").join(found(by_digest, "a"), "insight_id", "left").join(found(by_stem, "b"), "insight_id", "left")
+    by_stem = insights.select("insight_id", stems.alias("key"))
+    out = insights.select("insight_id").join(found(by_digest, of_key(F.lower("sha256")), "a"), "insight_id", "left").join(found(by_stem, of_key(T.stem(F.col("source_name"))), "b"), "insight_id", "left")
     strategy = F.when(F.col("n_a") == 1, "sha256").when(F.col("n_a") > 1, "ambiguous").when(F.col("n_b") == 1, "stem").when(F.col("n_b") > 1, "ambiguous").otherwise("unmatched")
     chosen = F.when(F.col("n_a") == 1, F.col("a")).when(F.col("n_a").isNull() & (F.col("n_b") == 1), F.col("b"))
     return out.select("insight_id", chosen["asset_id"].alias("asset_id"), chosen["document_id"].alias("document_id"), strategy.alias("strategy"))
