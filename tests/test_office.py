@@ -92,6 +92,18 @@ def test_pdf_blocks(spark):
     assert got == [("m.pdf", 1, 0, "heading", "E03 排水", 1, None), ("m.pdf", 1, 1, "paragraph", "Close the tap.\nPull the plug", None, None), ("m.pdf", 1, 2, "paragraph", "A sentence ends.", None, None), ("m.pdf", 3, 0, "heading", "𝔘 two", 1, None)]
 
 
+def test_maps_of_a_file_are_not_spelled_out():
+    m = P.CharMap(b"2 beginbfrange <0000><FFFF><0100> <0041><0043>[<0058><0059>] endbfrange 1 beginbfchar <0042><005A> endbfchar 1 beginbfrange <0043><0043><D835DD18> endbfrange")
+    # later maps count first, a short list leaves its other codes to earlier ones, ends run round
+    assert [m[bytes.fromhex(c)] for c in ("0041", "0042", "0043", "0044", "FFFF", "41")] == ["X", "Z", "𝔘", "\u0144", "\u00ff", None]
+    with pytest.raises(ValueError):
+        P.CharMap(b"1 beginbfrange <0000><00FF><D8350041DD> endbfrange")
+    files = [P.written_pdf([[f"text {k}"]]) for k in range(200)]
+    began = time.process_time()
+    assert [list(P.pdf_pages(f)) for f in files] == [[([f"text {k}"], 0)] for k in range(200)]
+    assert time.process_time() - began < 5
+
+
 def test_predictors():
     facts = {"Predictor": 12, "Columns": 3}
     assert P._unpredicted(b"\x02\x01\x02\x03\x02\x01\x01\x01\x01\x05\x01\x01", facts) == bytes([1, 2, 3, 2, 3, 4, 5, 6, 7])
