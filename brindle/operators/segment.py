@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.sources.tables import materialised
 
 #: Words that a task's table holds at most.
 MOST_WORDS = 1_000_000
@@ -33,7 +34,8 @@ Segments = Callable[[str], list[str]]
 
 def weighed(dictionary: DataFrame) -> DataFrame:
     """word and weight (a long; the word seen once, null, has its weight too)."""
-    words = dictionary.where("word <> '' and freq > 0").groupBy("word").agg(F.sum("freq").alias("freq"))
+    # counted once: a dictionary is read out of whole texts
+    words = materialised(dictionary.where("word <> '' and freq > 0").groupBy("word").agg(F.sum("freq").alias("freq")))
     total = words.agg(F.coalesce(F.sum("freq"), F.lit(1)).alias("total"))
     rows = words.unionByName(dictionary.sparkSession.range(1).select(F.lit(None).cast("string").alias("word"), F.lit(1).alias("freq")))
     return rows.crossJoin(F.broadcast(total)).select("word", F.round(F.log(F.col("freq") / F.col("total")) * 1_000_000).cast("long").alias("weight"))  # one row
@@ -69,17 +71,23 @@ class Prefixes:
             self.table[word] = weight
 
     def segments(self, run: str) -> list[str]:
-        table = self.table
-
-        def matches(i: int) -> Iterator[tuple[int, int]]:
-            for e in range(i + 1, len(run) + 1):
+        """As path() with the words of the table, without a call for each place."""
+        table, once, size = self.table, self.once, len(run)
+        best, end = [0] * (size + 1), [0] * size
+        for i in range(size - 1, -1, -1):
+            top, to = once + best[i + 1], i + 1
+            for e in range(i + 1, size + 1):
                 part = run[i:e]
                 if part not in table:
-                    return
-                if (w := table[part]) is not None:
-                    yield e, w
-
-        return path(run, matches, self.once)
+                    break
+                if (w := table[part]) is not None and ((score := w + best[e]) >= top or e == i + 1):
+                    top, to = score, e
+            best[i], end[i] = top, to
+        out, i = [], 0
+        while i < size:
+            out.append(run[i : end[i]])
+            i = end[i]
+        return out
 
 
 def prefixes(dictionary: DataFrame) -> Prefixes | None:
@@ -134,6 +142,32 @@ def segmented_texts(texts: DataFrame, dictionary: DataFrame, pattern: str = RUN)
     return texts.select("id").join(whole, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", F.coalesce(F.flatten(F.transform("x", lambda x: x["words"])), F.array().cast("array<string>")).alias("words"))
 
 
+def segmented_lists(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """id and words (a list for each run) of lists of runs (id, runs; one row an id). By the dictionary's table no run leaves its row."""
+    table = prefixes(dictionary)
+    if table is not None:
+        known: dict[str | None, list[str]] = {}  # a task's own
+
+        @F.arrow_udf("array<array<string>>")
+        def by_table(lists: pa.Array) -> pa.Array:
+            out = []
+            for runs in lists.to_pylist():
+                if len(known) >= 400_000:
+                    known.clear()
+                for run in runs or ():
+                    if run not in known:
+                        known[run] = table.segments(run or "")
+                out.append([known[run] for run in runs or ()])
+            return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+        return rows.select("id", by_table("runs").alias("words"))
+    pieces = materialised(rows.select("id", F.posexplode_outer("runs").alias("place", "run")))
+    none = F.array().cast("array<string>")
+    words = pieces.join(segmented_runs(pieces, dictionary), "run", "left").where("place is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("words", none).alias("words")))).alias("x"))
+    words = words.withColumnRenamed("id", "_id")
+    return rows.select("id").join(words, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", F.coalesce(F.transform("x", lambda x: x["words"]), F.array().cast("array<array<string>>")).alias("words"))
+
+
 def search_tokens(table: Prefixes, pattern: str = RUN) -> Callable[[Column], Column]:
     """A function of a text: its codes and numbers with units, words by the dictionary, and pairs of neighbouring ideographs; distinct, in this order."""
     words = segmented(table, pattern)

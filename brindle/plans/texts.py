@@ -106,12 +106,11 @@ def segmented_words(spark, sf):  # noqa: ANN001, ANN201
     """Each document's words, by twos without the blank between, divided again by a dictionary of the whole table."""
     d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w"))
     dictionary = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    two = lambda k, sep: F.concat(F.col("w")[2 * k], F.lit(sep), F.col("w")[2 * k + 1])
-    k = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.struct(two(k, "").alias("run"), two(k, " ").alias("whole"))))
-    runs = materialised(d.where(F.size("w") > 1).select("id", k.alias("k", "x")).select("id", "k", "x.*"))
-    words = G.segmented_runs(runs, dictionary, G.prefixes(dictionary)).withColumn("words", F.array_join("words", " "))
-    found = runs.join(words, "run").groupBy("id").agg(F.sum(F.size(F.split("words", " "))).cast("long").alias("n"), F.count_if(F.col("words") == F.col("whole")).alias("n_found"), F.array_sort(F.collect_list(F.struct("k", "words"))).alias("x"))
-    return found.select("id", "n", "n_found", F.sha2(F.array_join(F.transform("x", lambda x: x["words"]), ","), 256).alias("digest"))
+    two = lambda sep: F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.concat(F.col("w")[2 * k], F.lit(sep), F.col("w")[2 * k + 1]))
+    runs = d.where(F.size("w") > 1).select(F.struct("id", two(" ").alias("whole")).alias("id"), two("").alias("runs"))
+    found = G.segmented_lists(runs, dictionary).select("id.id", "id.whole", F.transform("words", lambda x: F.array_join(x, " ")).alias("x"), F.size(F.flatten("words")).cast("long").alias("n"))
+    n_found = F.size(F.filter(F.arrays_zip("x", "whole"), lambda x: x["x"] == x["whole"])).cast("long")
+    return found.select("id", "n", n_found.alias("n_found"), F.sha2(F.array_join("x", ","), 256).alias("digest"))
 
 
 _ASKED = "regexp_extract_all(lower(text), '[a-z]{2,}')"
@@ -129,7 +128,7 @@ def search_bm25_segmented(spark, sf):  # noqa: ANN001, ANN201
     """Search over texts whose words stand by twos without the blank between, divided by the dictionary of the whole table."""
     d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w")).where("size(w) > 1")
     every = _docs(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
-    dictionary = every.groupBy("word").agg(F.count("*").alias("freq"))
+    dictionary = materialised(every.groupBy("word").agg(F.count("*").alias("freq")))  # read for documents and for queries
     two = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.concat(F.col("w")[2 * k], F.col("w")[2 * k + 1]))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(T.words(F.col("text")), " ").alias("text"))
     divided = lambda texts: G.segmented_texts(texts, dictionary, "[a-z]{2,}").select("id", F.array_join("words", " ").alias("text"))

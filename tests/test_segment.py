@@ -101,3 +101,14 @@ def test_segmented_words_find_what_pairs_alone_do_not(spark, dictionary):
     mean = sum(map(len, words.values())) / 3
     score = lambda d: sum(math.log(1 + (3 - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(words[d]) / mean)) for t in query if t in words[d] for df in [sum(t in w for w in words.values())])
     assert found == {1: pytest.approx(score(1), abs=1e-5), 2: pytest.approx(score(2), abs=1e-5)}
+
+
+def test_lists_of_runs(spark, dictionary, monkeypatch):
+    lists = spark.createDataFrame([(1, ["清洁滤网", "b", "清洁滤网"]), (2, []), (3, None), (4, ["", None, "洗衣机排水管"])], "id long, runs array<string>")
+    want = {1: [all_paths("清洁滤网"), ["b"], all_paths("清洁滤网")], 2: [], 3: [], 4: [[], [], all_paths("洗衣机排水管")]}
+    by_table = G.segmented_lists(lists, dictionary)
+    # by the table no run is shuffled to its words and back
+    assert "Exchange" not in by_table._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["words"] for r in by_table.collect()} == want
+    monkeypatch.setattr(G, "MOST_WORDS", 3)
+    assert {r["id"]: r["words"] for r in G.segmented_lists(lists, dictionary).collect()} == want
