@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions import codes as K
 from brindle.functions import scores as S
@@ -28,6 +29,8 @@ CODE_BM25, CODE_OVERLAP = 3.0, 2.5
 COVERAGE, MOST_COVERAGE, EXACT_BONUS, RERANK_WEIGHT, LEAST_SCORE = 0.002, 0.006, 0.012, 0.004, 0.012
 #: Vectors of a block of the dense search, and blocks of queries whose best hits a task holds at once.
 BLOCK, HELD_BLOCKS = 1024, 64
+#: Terms of all queries that a task holds at most; more of them are joined.
+MOST_ASKED = 200_000
 
 Tokens = Callable[[Column], Column]
 
@@ -63,18 +66,91 @@ def bm25(corpus: DataFrame, queries: DataFrame, top: int = TOP, tokens: Tokens =
     # texts are tokenized once: the statistics read dl alone, the hits read the terms
     docs = materialised(found.select("id", F.size("t").alias("dl"), F.concat("t", "c").alias("terms")))
     stats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    wanted = queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), _marked(K.exact_terms(F.col("text"))))).alias("term"))
-    terms = docs.select("id", "dl", F.explode("terms").alias("term"))
-    hits = materialised(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
+    wanted = materialised(queries.select("query_id", F.explode(F.concat(tokens(F.col("text")), _marked(K.exact_terms(F.col("text"))))).alias("term")))
     is_code = F.startswith("term", F.lit("="))
+    hits = docs.select("id", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.where(~is_code).groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))  # one row
+    weights = materialised(df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl")))  # one row
+    asked = wanted.join(weights, "term", "left").select("query_id", "term", "idf", "avgdl").limit(MOST_ASKED + 1).collect()
+    once = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty()
+    if len(asked) <= MOST_ASKED and once:
+        return ranked(_best_of_tasks(docs, wanted, asked, top), top)
+    # more terms than a task holds, or texts that share an id: every pair of a text and a query is a row
     norm = 1 + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl")))
     score = F.when(is_code, F.lit(CODE_BM25)).otherwise(F.col("idf") * (K1 + 1) / norm)
     found = hits.join(wanted, "term").join(weights, "term", "left").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"), F.count_if(~is_code).alias("n_matched"), F.count_if(is_code).alias("n_codes"))
     return ranked(found.where("n_matched >= 2 or n_codes > 0").select("query_id", "id", "score"), top)
 
 
+def _best_of_tasks(docs: DataFrame, wanted: DataFrame, asked: list, top: int) -> DataFrame:
+    """query_id, id and score of the best texts that each task meets. asked: all rows query_id, term, idf and avgdl."""
+    names = list(dict.fromkeys(r["query_id"] for r in asked))
+    place = {q: k for k, q in enumerate(names)}
+    rows: dict[str, list[int]] = {}
+    for r in asked:
+        rows.setdefault(r["term"], []).append(place[r["query_id"]])
+    terms = list(rows)
+    idf = {r["term"]: r["idf"] for r in asked}
+    code = np.array([t.startswith("=") for t in terms], bool)
+    weight = np.array([0.0 if t.startswith("=") or idf[t] is None else idf[t] for t in terms])
+    number = np.array([len(rows[t]) for t in terms], np.int64)
+    of_term = np.concatenate([np.array(rows[t], np.int64) for t in terms]) if terms else np.zeros(0, np.int64)
+    start, width = np.cumsum(number) - number, len(names)
+    avgdl = next((r["avgdl"] for r in asked if r["avgdl"] is not None), 1.0)
+    id_type, query_type = (df.schema[c].dataType for df, c in ((docs, "id"), (wanted, "query_id")))
+    schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, least = pa.array(terms, pa.string()), np.full(width, -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = after = 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, ids, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, q))
+            q, ids, scores = q[order], ids[order], scores[order]
+            first = np.searchsorted(q, np.arange(width))
+            stay = np.arange(len(q)) - first[q] < top
+            q, ids, scores = q[stay], ids[stay], scores[stay]
+            full = np.bincount(q, minlength=width) >= top
+            last = np.searchsorted(q, np.arange(width), "right") - 1
+            least[full] = scores[last[full]]
+            return q, ids, scores
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK // 4 if width <= 4096 else 16):
+                part = whole.slice(lo, BLOCK // 4 if width <= 4096 else 16)
+                lists = part.column("terms")
+                length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(part.num_rows), length)[found >= 0]
+                found = found[found >= 0]
+                # each hit becomes its text's places in the row of queries that ask for the term
+                n = number[found]
+                at = np.repeat(start[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(row * width, n) + of_term[at]
+                coded, shape = np.repeat(code[found], n), (part.num_rows, width)
+                count = lambda some: np.bincount(cell[some], minlength=shape[0] * width).reshape(shape)  # noqa: B023, E731
+                words, codes = count(~coded), count(coded)
+                sums = np.bincount(cell, np.repeat(weight[found], n), shape[0] * width).reshape(shape)
+                norm = 1 + K1 * (1 - B + B * part.column("dl").to_numpy(zero_copy_only=False).astype(np.float64) / max(1.0, avgdl))
+                scores = np.round(sums * (K1 + 1) / norm[:, None] + CODE_BM25 * codes, 6)
+                row, q = np.nonzero(((words >= 2) | (codes > 0)) & (scores >= least))
+                if len(row):
+                    ids = part.column("id").to_numpy(zero_copy_only=False)
+                    kept.append((q, ids[row], scores[row, q]))
+                    held += len(row)
+                if held > max(200_000, 2 * after):
+                    kept[:] = [best()]
+                    held = after = len(kept[0][0])
+        if kept:
+            q, ids, scores = best()
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in q], out[0]), pa.array(ids, out[1]), pa.array(scores)], names=["query_id", "id", "score"])
+
+    out = [to_arrow_type(query_type), to_arrow_type(id_type)]
+    return docs.select("id", "dl", "terms").mapInArrow(run, schema)
+
+
 def overlap(corpus: DataFrame, queries: DataFrame, top: int | None = 10, tokens: Tokens = T.tokens) -> DataFrame:
     """query_id, id, score, rank by shared tokens: coverage of the query, shared codes, shared tokens of the title, and the
     logarithm of their number. Without top: all hits with their scores not rounded, no rank."""

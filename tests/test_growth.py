@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import assets as A
+from brindle.operators import search as S
 
 
 @pytest.fixture
@@ -36,3 +37,17 @@ def test_pictures_of_one_stem_are_no_pairs(spark, join_rows):
     few = spark.createDataFrame([(1, None, "x.png", "y"), (2, None, "x.png", None), (3, None, "x.png", "z")], "insight_id long, sha256 string, file_name string, image_id string")
     pics = spark.createDataFrame([(5, 2, "d", "x.png"), (5, 1, "d", "x.gif"), (5, 3, "d", "y.png"), (6, 1, "d", "z.png")], "asset_id long, document_id long, sha256 string, source_name string")
     assert {r["insight_id"]: (r["strategy"], r["asset_id"], r["document_id"]) for r in A.matched(few, pics).collect()} == {1: ("stem", 5, 1), 2: ("stem", 5, 1), 3: ("ambiguous", None, None)}
+
+
+def test_texts_are_scored_where_they_are(spark, join_rows, monkeypatch):
+    words = F.array(*(F.concat(F.lit("w"), F.chr(97 + F.pmod(F.hash(F.col("id"), F.lit(k)), F.lit(20)))) for k in range(12)))
+    corpus = spark.range(300).select("id", F.concat(F.array_join(words, " "), F.when(F.col("id") % 30 == 0, " E07").otherwise("")).alias("text"))
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.array_join(words, " "), F.when(F.col("id") % 8 == 0, " e07").otherwise("")).alias("text"))
+    rows, most = join_rows(S.bm25(corpus, queries, 7))
+    assert len(rows) == 280 and most <= 300  # no row for each pair of a text and a query
+    same = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    named = corpus.withColumn("id", F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 3, "0")))
+    by_name, twice = same(S.bm25(named, queries, 7)), same(S.bm25(corpus.unionByName(corpus), queries, 7))
+    monkeypatch.setattr(S, "MOST_ASKED", 0)
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in rows) == same(S.bm25(corpus, queries, 7))
+    assert by_name == same(S.bm25(named, queries, 7)) and twice == same(S.bm25(corpus.unionByName(corpus), queries, 7))
