@@ -11,7 +11,7 @@ from brindle.operators import lifecycle as L
 from brindle.operators import search as S
 from brindle.plans.registry import register
 from brindle.plans.texts import _OTHER, TOKENS_SQL, codes_sql
-from brindle.sources.tables import spread, table
+from brindle.sources.tables import materialised, spread, table
 
 QUERIES: dict = {}
 query = register(QUERIES)
@@ -130,8 +130,11 @@ t as (select *, row_number() over (partition by query_id order by rrf desc, coal
 
 def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Lexical and dense lists of the hybrid search."""
-    near = S.dense(*_vectors(spark, sf)).withColumn("query_id", F.floor(F.col("query_id") / 50))
-    near = near.join(corpus(spark, sf).select("id"), "id", "left_semi").join(asked(spark, sf).select("query_id"), "query_id", "left_semi")
+    vectors, queries = _vectors(spark, sf)
+    # vectors that stand for no query are not searched for; the ranks are those among all vectors
+    named = asked(spark, sf).select((F.col("query_id") * 50).alias("query_id"))
+    near = S.dense(vectors, queries.join(named, "query_id", "left_semi")).withColumn("query_id", F.floor(F.col("query_id") / 50))
+    near = near.join(corpus(spark, sf).select("id"), "id", "left_semi")
     return S.bm25(corpus(spark, sf), asked(spark, sf)), near
 
 
@@ -247,7 +250,7 @@ def code_gate(spark, sf):  # noqa: ANN001, ANN201
 def search_fallback_lanes(spark, sf):  # noqa: ANN001, ANN201
     """Search in one language with the whole corpus as fallback, and a second list that answers only where it is asked for."""
     c, q = corpus(spark, sf), asked(spark, sf)
-    few, all_ = S.bm25(c.where("lang = 'es'"), q, 5), S.bm25(c, q, 5)
+    few, all_ = materialised(S.bm25(c.where("lang = 'es'"), q, 5)), materialised(S.bm25(c, q, 5))  # each is read twice or more
     one = S.with_fallback(few.withColumn("lane", F.lit("es")), all_.withColumn("lane", F.lit("all"))).drop("rank")
     wants = q.withColumn("text", F.when(F.col("query_id") % 2 == 0, "show the picture").otherwise("tell"))
     return one.unionByName(S.merged_lanes(all_.limit(0), all_, wants, "on", "picture").drop("rank"))
