@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import materialised
+
+#: Points of a cell at the finest width, about, and how often a width is halved at most.
+CROWD, MOST_LEVELS = 4, 12
+
 
 def totals(df: DataFrame, **sums: Column) -> DataFrame:
     """One row of sums; 0 for an empty table."""
@@ -49,22 +58,55 @@ def one_dataset(points: DataFrame, dataset_id: Column) -> DataFrame:
     return points.agg(F.coalesce(F.bool_and(F.col("dataset_id") == dataset_id), F.lit(True)).alias("ok"), F.count("*").alias("n"))
 
 
-def nearest_within(a: DataFrame, b: DataFrame, radius: float, tolerance: float = 0.0) -> DataFrame:
+def _meetings(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
+    """Points of a with all points of b in their own and the eight cells around: all that lie within the width are among them."""
+    cell = lambda df, x, y: df.withColumn("cx", F.floor(F.col(x) / width)).withColumn("cy", F.floor(F.col(y) / width))
+    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left = cell(a, "x", "y").withColumn("c", around).drop("cx", "cy").select("*", "c.cx", "c.cy").drop("c")
+    return left.join(cell(b, "bx", "by"), ["cx", "cy"])
+
+
+def nearest_within(a: DataFrame, b: DataFrame, radius: float, tolerance: float = 0.0, distance: Callable[[Column, Column], Column] | None = None, most: float | None = None, apart: bool = False) -> DataFrame:
     """For each point of a (id, x, y) the nearest of b (id, x, y, priority) within the radius: id, near_id, d.
 
-    Points no further than the tolerance beyond the nearest compete by priority (higher first), then distance, then id. Cells are
-    as wide as the radius, so a point meets nine cells.
+    Points no further than the tolerance beyond the nearest compete by priority (higher first), then distance, then id. distance:
+    of two differences, the straight one if none is given; most: the largest that counts, the radius if none is given; apart: a
+    point is not near to its own id. Cells are as wide as the radius for few points, finer for many: a point that finds one close
+    enough for certain is done, the others go on to cells of twice the width. Pairs are only counted into minima.
     """
-    cell = lambda df: df.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
-    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    left = cell(a).select("id", "x", "y", around.alias("c")).select("id", "x", "y", "c.cx", "c.cy")
-    right = cell(b).select(F.col("id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "priority", "cx", "cy")
-    d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-    pairs = left.join(right, ["cx", "cy"]).withColumn("d", F.round(d, 8)).where(F.col("d") <= radius)
-    by_id = Window.partitionBy("id")
-    close = pairs.withColumn("least", F.min("d").over(by_id)).where(F.col("d") <= F.col("least") + tolerance)
-    best = close.withColumn("r", F.row_number().over(by_id.orderBy(F.desc("priority"), "d", "near_id"))).where("r = 1")
-    return best.select("id", "near_id", "d")
+    distance = distance or (lambda x, y: F.sqrt(x * x + y * y))
+    most = radius if most is None else most
+    points = b.select(F.col("id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "priority")
+    d = F.round(distance(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), 8)
+    # about CROWD points a cell, were they spread evenly over the square that holds them
+    facts = b.agg(F.count("*").alias("n"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    side = max(facts[1] or 0.0, facts[2] or 0.0)
+    fine = side * math.sqrt(CROWD / max(1, facts["n"]))
+    level = max(0, min(MOST_LEVELS, math.ceil(math.log2(radius / fine)))) if 0 < fine < math.inf else 0
+    if tolerance > 0:  # a width must hold the tolerance, too
+        level = max(0, min(level, math.floor(math.log2(radius / (2 * tolerance)))))
+    waiting, out = a.select("id", "x", "y"), []
+    for k in range(level, -1, -1):
+        width = radius / 2**k
+        pairs = _meetings(waiting, points, width).withColumn("d", d).where(F.col("d") <= most)
+        if apart:
+            pairs = pairs.where("id <> near_id")
+        # what is surely the whole neighbourhood of this width, in distances of the given kind; one rounding step is left out
+        sure = distance(F.lit(width), F.lit(0.0)) - 2e-8
+        best = pairs.groupBy("id", "priority").agg(F.min("d").alias("d"))
+        least = best.groupBy("id").agg(F.min("d").alias("least"))
+        if k:
+            least = least.where(F.col("least") + tolerance <= sure)
+        chosen = best.join(least, "id").where(F.col("d") <= F.col("least") + tolerance).groupBy("id").agg(F.coalesce(F.max_by("d", "priority"), F.min("d")).alias("d"), F.max("priority").alias("priority"))
+        chosen = materialised(chosen)
+        again = waiting.join(chosen.withColumnRenamed("d", "chosen_d").withColumnRenamed("priority", "chosen_p"), "id")
+        ties = _meetings(again, points, width).where(d == F.col("chosen_d")).where(F.col("priority").eqNullSafe(F.col("chosen_p")))
+        if apart:
+            ties = ties.where("id <> near_id")
+        out.append(ties.groupBy("id", F.col("chosen_d").alias("d")).agg(F.min("near_id").alias("near_id")).select("id", "near_id", "d"))
+        if k:
+            waiting = materialised(waiting.join(chosen, "id", "left_anti"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def effective_model(events: DataFrame, spans: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from brindle.functions import text as T
 from brindle.functions import vector as V
 from brindle.operators import lifecycle as L
 from brindle.operators import search as S
+from brindle.operators import views as U
 from brindle.plans.registry import register
 from brindle.plans.texts import _OTHER, TOKENS_SQL, codes_sql
 from brindle.sources.tables import materialised, spread, table
@@ -376,15 +377,8 @@ select a.id, b.id as near_id, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a
 where d <= 0.0039 qualify row_number() over (partition by a.id order by d, b.id) = 1"""
 )
 def grid_nearest(spark, sf):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window
-
-    m = map_bounds_normalize(spark, sf).withColumn("cx", F.floor(F.col("x") * 16)).withColumn("cy", F.floor(F.col("y") * 16))
-    around = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = m.select("id", "x", "y", F.explode(around).alias("c")).select("id", "x", "y", "c.cx", "c.cy")
-    b = m.select(F.col("id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-    sq = lambda p, q: (F.col(p) - F.col(q)) * (F.col(p) - F.col(q))
-    pairs = a.join(b, ["cx", "cy"]).where("id <> near_id").withColumn("d", F.round(sq("x", "bx") + sq("y", "by"), 8)).where("d <= 0.0039")
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "near_id"))).where("r = 1").select("id", "near_id", "d")
+    m = map_bounds_normalize(spark, sf).withColumn("priority", F.lit(0))
+    return U.nearest_within(m, m, 1 / 16, distance=lambda x, y: x * x + y * y, most=0.0039, apart=True)
 
 
 @query("select label, i::int as place, round(avg(x::double), 6) as mean, count(*) as n from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) group by all")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import assets as A
 from brindle.operators import search as S
+from brindle.operators import views as U
 
 
 @pytest.fixture
@@ -51,3 +52,20 @@ def test_texts_are_scored_where_they_are(spark, join_rows, monkeypatch):
     monkeypatch.setattr(S, "MOST_ASKED", 0)
     assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in rows) == same(S.bm25(corpus, queries, 7))
     assert by_name == same(S.bm25(named, queries, 7)) and twice == same(S.bm25(corpus.unionByName(corpus), queries, 7))
+
+
+def test_nearest_points_of_a_crowd(spark, join_rows):
+    at = lambda seed: (F.pmod(F.hash("id", F.lit(seed)), F.lit(10_000)) / 10_000) ** 2
+    p = spark.range(300).select("id", at(1).alias("x"), at(2).alias("y"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("priority")).cache()
+    points = [tuple(r) for r in p.collect()]
+    square = lambda a, b: round((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, 8)
+    want = {a[0]: min((square(a, b), b[0]) for b in points if a[0] != b[0]) for a in points}
+    rows, most = join_rows(U.nearest_within(p, p, 0.25, distance=lambda x, y: x * x + y * y, apart=True))
+    assert {r["id"]: (r["d"], r["near_id"]) for r in rows} == {k: v for k, v in want.items() if v[0] <= 0.25}
+    assert most < 15_000  # of 90,000 pairs
+    for tolerance in (0.02,):
+        want = {}
+        for a in points:
+            d = [(round(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5, 8), -1 if b[3] is None else b[3], b[0]) for b in points]
+            want[a[0]] = min((-x[1], x[0], x[2]) for x in d if x[0] <= min(d)[0] + tolerance)[1:]
+        assert {r["id"]: (r["d"], r["near_id"]) for r in U.nearest_within(p, p, 0.25, tolerance).collect()} == want
