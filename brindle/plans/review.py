@@ -144,12 +144,12 @@ def map_hits(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query(
-    """with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, vec_id % 3 as priority from embeddings), d as (select a.id, b.id as near_id, b.priority, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) as d from p a, p b where a.id % 50 = 0),
+    """with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, vec_id % 3 as priority from embeddings), d as (select a.id, b.id as near_id, b.priority, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) as d from p a, p b),
 m as (select *, min(d) over (partition by id) as least from d where d <= 0.05) select id, near_id, d from m where d <= least + 0.01 qualify row_number() over (partition by id order by priority desc, d, near_id) = 1"""
 )
 def nearest_by_priority(spark, sf):  # noqa: ANN001, ANN201
     p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (F.col("vec_id") % 3).alias("priority"))
-    return U.nearest_within(p.where("id % 50 = 0"), p, 0.05, 0.01)
+    return U.nearest_within(p, p, 0.05, 0.01)
 
 
 @query("select (event_id // 4)::varchar as request_id, coalesce(arg_max(event_type, event_id) filter (where event_type <> 'view'), 'span') as model from events group by 1")
