@@ -13,11 +13,14 @@ while its time is before the latest slot.
 3. Pairs go through a filter on their signatures, and the rest are verified by their multiset overlap. First each text is
    paired with its best centre alone; links make components; then with the centres of other components; then each bucket
    whose members are still in several components gets further centres, outside the components of the earlier ones, CENTRES in
-   all. So the work grows with the members, whatever they have in common.
-4. A class is a component; its id is its least doc_id.
+   all. So the work of this step grows with the members, whatever they have in common.
+4. In buckets that are still open, all members of different components are held against each other, exactly: members are dealt
+   into blocks of BLOCK_BYTES, and a task takes two blocks (closing_links). This is the square of such a bucket by nature, in
+   blocks; components that are already joined meet no more.
+5. A class is a component; its id is its least doc_id.
 
-Loss, for a pair at exactly 0.8 (less above): no common band 0.2 %, the filter 0.003 %. In a star, a link of two members
-may also be missed where neither links to a centre and no other path joins them; tests hold the classes against brute force.
+Loss, for a pair at exactly 0.8 (less above): no common band 0.2 %, the filter 0.003 % (step 4 has no filter). Every link of
+two members of a bucket that passes the filter joins their classes.
 
 Rules for odd input: a null text counts as empty; a text without words is alike only to equal texts; texts, not doc_ids, are
 compared, so two texts under one doc_id may be in two classes (class_key tells these apart), and rows without doc_id take
@@ -41,6 +44,8 @@ SHINGLE, SIMILARITY, SLOTS, BANDS, ROWS, CENTRES = 5, 0.8, 192, 56, 10, 3
 #: Pairs whose signatures agree in a smaller part are not verified (four standard deviations below SIMILARITY).
 LEAST_ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 CHUNK_BYTES = 1 << 20
+#: Bytes of a block of members that are all held against each other, and what each counts beside its shingles.
+BLOCK_BYTES, MEMBER_BYTES = 4 << 20, 1 << 10
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -278,6 +283,81 @@ def _with_class(df: DataFrame, label: DataFrame, rep: str, name: str) -> DataFra
     return df.join(found, rep, "left").withColumn(name, F.coalesce("_c", rep)).drop("_c")
 
 
+def apart_links(label: np.ndarray, side: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
+    """Links (places and similarity) that join texts of different labels: side 0 against side 1, and side 2 within itself.
+
+    hashes: the sorted bags of all texts, one after another. Pairs that links of this call have joined are left out.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    order = np.lexsort((label, np.bincount(label)[label], side))  # the largest class last: it meets nothing behind it
+    label, side, owner = label[order], side[order], np.repeat(np.arange(len(lengths)), lengths)
+    # the second copy of a hash within a text is a word of its own, so shared words are counted with their copies
+    new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]))
+    copy = np.arange(len(hashes)) - np.repeat(new, np.diff(np.append(new, len(hashes))))
+    words = np.unique(hashes.astype(np.uint64) << np.uint64(32) | copy.astype(np.uint64), return_inverse=True)[1]
+    place = np.cumsum(lengths) - lengths
+    words = np.concatenate([words[place[k] : place[k] + lengths[k]] for k in order])
+    lengths = lengths[order]
+    start = np.concatenate([[0], np.cumsum(lengths)])
+    mine, found = np.zeros(words.max() + 1, bool), []
+    second = int(np.searchsorted(side, 1))
+    for i in range(second if second and second < len(side) else len(side) - 1):
+        first = second if second and second < len(side) else i + 1
+        least, most = np.minimum(lengths[first:], lengths[i]), np.maximum(lengths[first:], lengths[i])
+        if not ((label[first:] != label[i]) & (least >= similarity * most)).any():
+            continue
+        held = words[start[i] : start[i + 1]]
+        mine[held] = True
+        both = np.add.reduceat(mine[words[start[first] :]], start[first:-1] - start[first], dtype=np.int64)
+        mine[held] = False
+        alike = both / (lengths[first:] + lengths[i] - both)
+        for j in np.flatnonzero((alike >= similarity) & (label[first:] != label[i])):
+            if label[first + j] != label[i]:
+                label[label == label[first + j]] = label[i]
+                found.append((int(order[i]), int(order[first + j]), float(alike[j])))
+    return found
+
+
+def closing_links(rest: DataFrame, label: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b, similarity between members of a bucket that are in different classes: all such pairs are verified.
+
+    Buckets of one centre are taken as one group where that makes fewer pairs. A group's classes are dealt into blocks, small
+    classes together and large ones apart; each pair of blocks that holds two classes is a group of rows in a task.
+    """
+    named = _with_class(rest, label, "rep", "class")
+    apart = named.groupBy("bucket").agg(F.max_by("rep", "rank").alias("centre"), F.count("*").cast("double").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    # of three members or fewer all pairs were tried as centres
+    apart = written(apart.where("lo <> hi and n > 3").select("bucket", "centre", "n"))
+    met = written(named.join(apart, "bucket").select("bucket", "centre", "n", "rep", "class"))
+    # the sum of n over members is that of the squares over buckets
+    whole = met.groupBy("centre").agg(F.sum("n").alias("pairs"), F.countDistinct("rep").cast("double").alias("all")).where("all * all <= pairs")
+    key = F.struct(F.col("all").isNotNull().alias("whole"), F.when(F.col("all").isNotNull(), F.col("centre")).otherwise(F.col("bucket")).alias("id"))
+    keys = apart.join(whole, "centre", "left").select("bucket", key.alias("key"))
+    rows = met.join(keys, "bucket").select("key", "rep", "class").distinct()
+    sized = written(rows.join(bags.select("rep", (F.length("bag") + MEMBER_BYTES).alias("bytes")), "rep"))
+    classes = sized.groupBy("key", "class").agg(F.sum("bytes").alias("bytes")).withColumn("large", F.col("bytes") > BLOCK_BYTES // 4)
+    small = classes.where("not large").groupBy("key").agg(F.sum("bytes").alias("small"))
+    parts = F.ceil(F.when(F.col("large"), F.col("bytes")).otherwise(F.col("small")) / BLOCK_BYTES)
+    block = F.struct(F.when(F.col("large"), F.col("class")).otherwise(-1).alias("only"), F.pmod(F.xxhash64(F.when(F.col("large"), F.col("rep")).otherwise(F.col("class"))), parts).alias("part"))
+    placed = written(sized.drop("bytes").join(classes, ["key", "class"]).join(small, "key", "left").select("key", block.alias("block"), "rep", "class"))
+    blocks = placed.groupBy("key", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    x, y = (blocks.select("key", F.col("block").alias(n), F.col("lo").alias(f"{n}_lo"), F.col("hi").alias(f"{n}_hi")) for n in "xy")
+    pairs = x.join(y, "key").where("x <= y and (x_lo <> x_hi or y_lo <> y_hi or x_lo <> y_lo)").select("key", "x", "y")
+    at = lambda n, side: F.struct(F.col(n).alias("block"), F.lit(side).alias("side"))
+    sides = pairs.select("key", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(at("x", 2))).otherwise(F.array(at("x", 0), at("y", 1)))).alias("s")).select("key", "x", "y", "s.*")
+
+    def run(part: pa.Table) -> pa.Table:
+        rep, label, side = (part.column(c).to_numpy() for c in ("rep", "class", "side"))
+        offsets, data = _buffers(part.column("bag").combine_chunks())
+        found = apart_links(label, side, np.diff(offsets) // 4, data[offsets[0] : offsets[-1]].view(np.uint32), similarity)
+        ends = np.array([sorted((rep[i], rep[j])) for i, j, _ in found], np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1], "similarity": np.array([s for _, _, s in found], np.float64)})
+
+    held = placed.join(sides, ["key", "block"]).join(bags, "rep").select("key", "x", "y", "rep", "class", "side", "bag")
+    found = held.groupBy("key", "x", "y").applyInArrow(run, "a long, b long, similarity double")
+    return written(found.dropDuplicates(["a", "b"]))
+
+
 def near_links(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between different texts, enough of them to join the classes, and rep and class of their ends.
 
@@ -316,7 +396,8 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
         pairs = named.join(nexts, "bucket").where(F.col("class") != F.col("d")).select(*_pair("rep", "centre")).distinct()
         new = written(pairs.join(tried, ["a", "b"], "left_anti"))
         waiting, centre_of = named.select("bucket", "rep", "rank", "waits"), nexts.select("bucket", "centre")
-    return links, label
+    found = closing_links(rest, label, bags, similarity)
+    return links.unionByName(found), relabelled(label, found)
 
 
 def signed_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -180,3 +180,51 @@ def test_signatures_estimate_the_weighted_overlap():
 
 def test_near_classes_of_nothing(spark):
     assert near_dedup.near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_bucket_of_many_families_is_closed(spark):
+    """Texts of one bucket that link to none of its centres still meet each other: classes, links and blocks of any size."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    docs = []
+    for family in range(30):
+        base = list(rng.choice(words, 100))
+        for k in range(2 + family % 3):
+            docs.append((10 * family + k, " ".join([*base, f"end{k}"]) if family else " ".join(base[: 100 - k])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    reps = near_dedup.written(near_dedup.sign(df).select(F.col("doc_id").alias("rep"), "h1", "h2", F.array(F.lit(1).cast("long")).alias("bands"), "sig"))
+    for block in (near_dedup.BLOCK_BYTES, 6000):
+        before, near_dedup.BLOCK_BYTES = near_dedup.BLOCK_BYTES, block
+        try:
+            links, label = near_dedup.near_links(reps, df)
+        finally:
+            near_dedup.BLOCK_BYTES = before
+        assert {r["rep"]: r["class"] for r in label.collect()} == {d: d // 10 * 10 for d, _ in docs}
+        text = dict(docs)
+        assert all(abs(r["similarity"] - jaccard(bag(text[r["a"]]), bag(text[r["b"]]))) < 1e-9 for r in links.collect())
+
+
+def test_links_of_different_labels_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    for sides in ([2] * 40, [0] * 15 + [1] * 25):
+        bags = [np.sort(rng.integers(0, 12, int(rng.integers(3, 14)))).astype(np.uint32) for _ in sides]
+        label = rng.integers(0, 20, len(sides))
+        got = near_dedup.apart_links(label, np.array(sides), np.array([len(b) for b in bags]), np.concatenate(bags), 0.6)
+        up = {int(k): int(k) for k in label}
+        want = dict(up)
+
+        def join(known, i, j):
+            old, new = known[int(label[i])], known[int(label[j])]
+            known.update({k: new for k, v in known.items() if v == old})
+
+        for i, j, alike in got:
+            assert abs(alike - near_dedup.overlap(bags[i], bags[j])) < 1e-9 and alike >= 0.6
+            join(up, i, j)
+        for i in range(len(sides)):
+            for j in range(i):
+                if (sides[i] == 2 or sides[i] != sides[j]) and near_dedup.overlap(bags[i], bags[j]) >= 0.6:
+                    join(want, i, j)
+        groups = lambda known: {frozenset(k for k in known if known[k] == v) for v in known.values()}
+        assert groups(up) == groups(want) and got
