@@ -116,9 +116,9 @@ def lines(text: Column) -> Column:
 
 def table_pieces(text: Column) -> Column:
     """Each further line under the first one as its header; the text itself where there is one line or none."""
-    rows = lines(text)
-    head = F.element_at(rows, 1)
-    return F.when(F.size(rows) > 1, F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda x: F.concat(head, F.lit("\n"), x))).otherwise(F.array(text))
+    # the lines are bound, so they are found once, not again for each piece
+    found = F.transform(F.array(lines(text)), lambda rows: F.when(F.size(rows) > 1, F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda x: F.concat(F.element_at(rows, 1), F.lit("\n"), x))).otherwise(F.array(text)))
+    return F.element_at(found, 1)
 
 
 def question_pieces(text: Column) -> Column:

@@ -108,30 +108,33 @@ def chunks(parts: DataFrame, profile: str, products: dict[str, list[str]] = PROD
     """
     if profile not in {"general", "manual", "qa", "table", "picture"}:
         raise ValueError(f"unknown profile: {profile}")
+    # the class is that of the whole section: found once, not for each of its pieces
+    parts = parts.select("id", "section", "title", "text", product_class(F.concat_ws(" ", "title", "text"), products).alias("product"))
     if profile in ("table", "qa"):
         found = T.table_pieces(F.col("text")) if profile == "table" else T.question_pieces(F.col("text"))
         short = parts.withColumn("_p", found)
         done = short.where(F.size("_p") > (1 if profile == "table" else 0))
-        rows = done.select("id", "section", "title", "text", F.posexplode("_p").alias("place", "piece"))
+        rows = done.select("id", "section", "title", "product", F.posexplode("_p").alias("place", "piece"))
         # a table of one line is cut into windows
         rest = short.where(F.size("_p") <= 1).drop("_p") if profile == "table" else None
         rows = rows.unionByName(_windows(rest)) if rest is not None else rows
     else:
         rows = _windows(parts)
     whole = F.concat_ws(" ", "title", "piece")
-    return rows.select("id", "section", "place", "title", "piece", F.btrim(F.regexp_replace(F.lower("piece"), r"\s+", " ")).alias("normalized"), T.keywords(whole, profile == "manual").alias("keywords"), product_class(F.concat_ws(" ", "title", "text"), products).alias("product"))
+    return rows.select("id", "section", "place", "title", "piece", F.btrim(F.regexp_replace(F.lower("piece"), r"\s+", " ")).alias("normalized"), T.keywords(whole, profile == "manual").alias("keywords"), "product")
 
 
 def _windows(parts: DataFrame) -> DataFrame:
-    """Sections cut into windows, with their columns: the text goes through Python with a number of its section."""
+    """Sections cut into windows, with their columns but the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [cut(t or "") for t in batch.column("text").to_pylist()]
             at = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
             place, piece = pa.array([p for f in found for p in range(len(f))], pa.int32()), pa.array([p for f in found for p in f], pa.string())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), place, piece], names=[*batch.schema.names, "place", "piece"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), place, piece], names=[*kept, "place", "piece"])
 
-    rows = parts.select("id", "section", "title", "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    kept = ["id", "section", "title", "product"]
+    rows = parts.select(*kept, "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
     return rows.mapInArrow(run, f"{kinds}, place int, piece string")

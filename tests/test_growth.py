@@ -69,3 +69,17 @@ def test_nearest_points_of_a_crowd(spark, join_rows):
             d = [(round(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5, 8), -1 if b[3] is None else b[3], b[0]) for b in points]
             want[a[0]] = min((-x[1], x[0], x[2]) for x in d if x[0] <= min(d)[0] + tolerance)[1:]
         assert {r["id"]: (r["d"], r["near_id"]) for r in U.nearest_within(p, p, 0.25, tolerance).collect()} == want
+
+
+def test_a_long_table_is_cut_in_time_with_its_lines(spark):
+    import time
+
+    from brindle.functions import text as T
+
+    rows = spark.range(1).select(F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(12_000)), lambda k: F.concat(F.lit("line "), k.cast("string")))).alias("text"))
+    begin = time.monotonic()
+    pieces = rows.select(T.table_pieces(F.col("text")).alias("p")).first()["p"]
+    assert time.monotonic() - begin < 10
+    assert pieces == [f"line 0\nline {k}" for k in range(1, 12_001)]
+    few = spark.createDataFrame([(" a \n\nb\r\nc",), ("only",), ("",), (None,)], "text string")
+    assert [r["p"] for r in few.select(T.table_pieces(F.col("text")).alias("p")).collect()] == [["a\nb", "a\nc"], ["only"], [""], [None]]
