@@ -28,8 +28,10 @@ def _exact(text: str) -> str:
     return f"({codes_sql(text)} || {_OTHER.format(text)})"
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread(table(spark, sf, "documents"))
+def corpus(spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
+    """dealt: over many tasks, for work on all texts; to look up texts of few ids they are read where they are."""
+    d = table(spark, sf, "documents")
+    d = spread(d) if dealt else d
     code = F.concat(F.lit(" (E"), (10 + F.col("doc_id") % 90).cast("string"), F.lit(")"))
     return d.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).cast("long").alias("parent_id"), F.col("source").alias("title"), "lang", "source", F.concat("text", code).alias("text"))
 
@@ -135,7 +137,7 @@ def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     # vectors that stand for no query are not searched for; the ranks are those among all vectors
     named = asked(spark, sf).select((F.col("query_id") * 50).alias("query_id"))
     near = S.dense(vectors, queries.join(named, "query_id", "left_semi")).withColumn("query_id", F.floor(F.col("query_id") / 50))
-    near = near.join(corpus(spark, sf).select("id"), "id", "left_semi")
+    near = near.join(corpus(spark, sf, dealt=False).select("id"), "id", "left_semi")
     return S.bm25(corpus(spark, sf), asked(spark, sf)), near
 
 
@@ -154,7 +156,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, pl
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    c, q = corpus(spark, sf), asked(spark, sf)
+    c, q = corpus(spark, sf, dealt=False), asked(spark, sf)
     return S.parents(S.scored_parents(rrf_fusion(spark, sf), c, q))
 
 
@@ -198,7 +200,7 @@ def search_explained(spark, sf):  # noqa: ANN001, ANN201
 
 @query(_PARENTS + " select query_id, rank, 'evidence:' || r.parent_id as evidence_id, title, sha256(text) as digest, score, round(least(0.99::double, 0.5::double + least(0.4::double, 8 * score)), 4) as confidence from r join " + _D + " d on d.id = matched[1]")
 def evidence_projection(spark, sf):  # noqa: ANN001, ANN201
-    return S.evidence(_found(spark, sf), corpus(spark, sf)).select("query_id", "rank", "evidence_id", "title", F.sha2("text", 256).alias("digest"), "score", "confidence")
+    return S.evidence(_found(spark, sf), corpus(spark, sf, dealt=False)).select("query_id", "rank", "evidence_id", "title", F.sha2("text", 256).alias("digest"), "score", "confidence")
 
 
 @query(
@@ -217,7 +219,7 @@ def evidence_supplement(spark, sf):  # noqa: ANN001, ANN201
 )
 def hybrid_exact_gate(spark, sf):  # noqa: ANN001, ANN201
     """Queries that find nothing, and why: every fifth asks for one more code, that no document has."""
-    c, q = corpus(spark, sf), asked(spark, sf)
+    c, q = corpus(spark, sf, dealt=False), asked(spark, sf)
     more = q.withColumn("text", F.when(F.col("query_id") % 5 == 0, F.concat("text", F.lit(" zz99"))).otherwise(F.col("text")))
     scored = S.scored_parents(rrf_fusion(spark, sf), c, more)
     state = q.select("query_id").join(scored.groupBy("query_id").agg(F.count_if("over").alias("n_over"), F.count_if(F.col("over") & F.col("complete")).alias("n")), "query_id", "left")
@@ -230,7 +232,7 @@ def hybrid_exact_gate(spark, sf):  # noqa: ANN001, ANN201
 )
 def rerank_stage(spark, sf):  # noqa: ANN001, ANN201
     """The reranker's hook with the length of a text as its score."""
-    out = S.reranked(rrf_fusion(spark, sf), corpus(spark, sf), asked(spark, sf), lambda q, t: F.length(t))
+    out = S.reranked(rrf_fusion(spark, sf), corpus(spark, sf, dealt=False), asked(spark, sf), lambda q, t: F.length(t))
     return out.select("query_id", "id", "rerank", "place")
 
 
@@ -244,7 +246,7 @@ def stage_trace_long(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"with h as ({_OVERLAP}), q as (select query_id, {_exact('text')} as asked from {_Q}), d as (select id, {_exact('text')} as held from {_D}) select query_id, id, score, rank from h join q using (query_id) join d using (id) where list_has_all(held, asked)")
 def code_gate(spark, sf):  # noqa: ANN001, ANN201
-    return S.code_gate(search_overlap(spark, sf), corpus(spark, sf), asked(spark, sf)).select("query_id", "id", "score", "rank")
+    return S.code_gate(search_overlap(spark, sf), corpus(spark, sf, dealt=False), asked(spark, sf)).select("query_id", "id", "score", "rank")
 
 
 @query(f"with e as ({_bm25_sql(chr(119) + 'here lang = ' + chr(39) + 'es' + chr(39), 5)}), a as ({_bm25_sql('', 5)}) select query_id, id, score, 'es' as lane from e union all select query_id, id, score, 'all' from a where query_id not in (select query_id from e) union all select query_id, id, score, case when query_id % 2 = 0 then 'answer' else 'shadow' end from a")

@@ -14,16 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables below this size are dealt out to all cores before work on texts; larger ones come in enough parts by themselves.
-SMALL_BYTES = 1 << 30
+#: Bytes of a table's files that one task gets at most, on the average, before work on texts.
+PART_BYTES = 8 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where the table is small: a file of one row group would be one task. No shuffle beyond that."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows dealt by their key into parts of PART_BYTES, as many as there are cores at least.
+
+    A file of one row group is one task however large it is, so a table of any size is dealt out. By a key no task sorts its
+    rows first, as it would to deal them in turn, and what is grouped or joined by the key later need not move again.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), key)
 
 
 def shared_folder(spark: SparkSession) -> str:

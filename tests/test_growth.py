@@ -83,3 +83,19 @@ def test_a_long_table_is_cut_in_time_with_its_lines(spark):
     assert pieces == [f"line 0\nline {k}" for k in range(1, 12_001)]
     few = spark.createDataFrame([(" a \n\nb\r\nc",), ("only",), ("",), (None,)], "text string")
     assert [r["p"] for r in few.select(T.table_pieces(F.col("text")).alias("p")).collect()] == [["a\nb", "a\nc"], ["only"], [""], [None]]
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    from brindle.sources import tables
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha2(F.concat(F.col("id").cast("string"), k.cast("string")), 256)), " ")
+    for n in (500, 2000):
+        spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/{n}.parquet")
+    monkeypatch.setattr(tables, "PART_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(tables, "SMALL_BYTES", 1 << 16, raising=False)
+    few, many = (tables.spread(tables.table(spark, str(tmp_path), str(n))) for n in (500, 2000))
+    # four times the rows are four times the parts, so none holds more
+    assert many.rdd.getNumPartitions() > 3 * few.rdd.getNumPartitions() > 12
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most(many) < 2 * most(few) and many.count() == 2000
+    assert "RoundRobin" not in many._jdf.queryExecution().toString()
