@@ -268,7 +268,7 @@ def fused_top(hits: DataFrame, top: int = TOP) -> DataFrame:
 
 def reranked(hits: DataFrame, corpus: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], top: int = RERANKED) -> DataFrame:
     """Only the first hits, placed anew by a score of query and text (a hook: any column function)."""
-    first = hits.where(F.col("place") <= top).join(corpus.select("id", F.col("text").alias("_t")), "id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    first = materialised(hits.where(F.col("place") <= top)).join(corpus.select("id", F.col("text").alias("_t")), "id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
     scored = first.withColumn("rerank", score(F.col("_q"), F.col("_t")).cast("double")).drop("_q", "_t")
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "place")
     return scored.withColumn("place", F.row_number().over(w))
@@ -283,8 +283,9 @@ def scored_parents(hits: DataFrame, corpus: DataFrame, queries: DataFrame, least
     """
     asked = queries.select("query_id", K.exact_terms(F.col("text")).alias("asked"))
     extra = [c for c in ("page_start", "page_end", "asset_ids") if c in corpus.columns]
-    held = corpus.select("id", "parent_id", K.exact_terms(_code_text(corpus)).alias("held"), *extra)
-    rows = hits.join(held, "id").join(asked, "query_id")
+    # the hits are few: written, they go to the texts, and codes are read of the texts that were hit alone
+    held = corpus.select("id", "parent_id", _code_text(corpus).alias("_c"), *extra)
+    rows = materialised(hits).join(held, "id").withColumn("held", K.exact_terms(F.col("_c"))).drop("_c").join(asked, "query_id")
     if "rerank" not in hits.columns:
         rows = rows.withColumn("rerank", F.lit(0.0))
     child = F.struct("place", "id", *(["asset_ids"] if "asset_ids" in extra else []))
@@ -412,5 +413,7 @@ def proximity(positions: DataFrame, window: int, weight: float) -> DataFrame:
 def code_gate(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits (query_id, id) whose text has every code of the query; queries without codes pass."""
     asked = queries.select("query_id", K.exact_terms(F.col("text")).alias("asked"))
-    held = corpus.select("id", K.exact_terms(_code_text(corpus)).alias("held"))
-    return hits.join(asked, "query_id").join(held, "id").where(F.size(F.array_except("asked", "held")) == 0).drop("asked", "held")
+    # the hits are few: written, they go to the texts, and codes are read of the texts that were hit alone
+    held = corpus.select("id", _code_text(corpus).alias("_c"))
+    rows = materialised(hits).join(held, "id").withColumn("held", K.exact_terms(F.col("_c"))).drop("_c")
+    return rows.join(asked, "query_id").where(F.size(F.array_except("asked", "held")) == 0).drop("asked", "held")

@@ -99,3 +99,13 @@ def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
     most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most(many) < 2 * most(few) and many.count() == 2000
     assert "RoundRobin" not in many._jdf.queryExecution().toString()
+
+
+def test_codes_are_read_of_hit_texts_alone(spark, monkeypatch):
+    corpus = spark.range(50).select("id", (F.col("id") % 5).alias("parent_id"), F.concat(F.lit("E0"), (F.col("id") % 10).cast("string")).alias("text"))
+    hits = spark.createDataFrame([(1, 3, 0.1, None, None, 1)], "query_id long, id long, rrf double, lex_score double, dense_score double, place int")
+    queries = spark.createDataFrame([(1, "show E03")], "query_id long, text string")
+    for found in (S.code_gate(hits.select("query_id", "id"), corpus, queries), S.scored_parents(hits, corpus, queries)):
+        text = found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert text.index("regexp_extract_all") < text.rindex("join")  # above the join of hits and texts
+        assert found.count() == 1
