@@ -388,10 +388,10 @@ def fields_bm25(corpus: DataFrame, queries: DataFrame, fields: list[str], tokens
     n = corpus.agg(F.count("*").alias("n"))
     rows = corpus.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields))).alias("x")).select("id", "x.field", "x.t", F.size("x.t").alias("length"))
     means = rows.groupBy("field").agg(F.avg("length").alias("mean"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("asked"))
+    wanted = materialised(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("asked")))
+    # hits are found again rather than written: a corpus dealt by id keeps its parts up to the sums, which then move no row
     hits = rows.select("id", "field", "length", F.explode("t").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("id", "field", "length", "token").agg(F.count("*").alias("tf"))
-    hits = materialised(hits)
-    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
+    df = materialised(hits.groupBy("field", "token").agg(F.count("*").alias("df")))
     all_ = hits.join(df, ["field", "token"]).join(F.broadcast(means), "field").crossJoin(F.broadcast(n)).join(wanted, "token")  # a row a field; one row
     term = S.field_term(F.col("df"), F.col("n"), F.col("tf"), F.col("length"), F.col("mean"), F.col("asked"))
     return all_.groupBy("query_id", "id").agg(F.round(F.sum(term), 6).alias("score"))

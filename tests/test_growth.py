@@ -109,3 +109,19 @@ def test_codes_are_read_of_hit_texts_alone(spark, monkeypatch):
         text = found._jdf.queryExecution().optimizedPlan().toString().lower()
         assert text.index("regexp_extract_all") < text.rindex("join")  # above the join of hits and texts
         assert found.count() == 1
+
+
+def _moves(df):
+    """Shuffles of a plan, but for the one that deals the rows out; broadcasts are none."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x for x in lines if "Exchange" in x and "Broadcast" not in x and "REPARTITION" not in x]
+
+
+def test_sums_of_dealt_texts_move_no_row(spark, monkeypatch):
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.lit("w"), F.chr(97 + F.pmod(F.hash("id", k), F.lit(20))))), " ")
+    corpus = spark.range(300).select("id", F.lit("about w").alias("title"), words.alias("text"))
+    queries = spark.range(12).select(F.col("id").alias("query_id"), words.alias("text"))
+    found = S.fields_bm25(corpus.repartition(9, "id"), queries, ["title", "text"], lambda t: S.T.all_of(F.lower(t), "[a-z]{2,}"))
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(found) == same(S.fields_bm25(corpus, queries, ["title", "text"], lambda t: S.T.all_of(F.lower(t), "[a-z]{2,}")))
+    assert not [x for x in _moves(found) if "query_id" in x]
