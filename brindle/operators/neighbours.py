@@ -3,8 +3,9 @@
 Vectors are made unit length, so distance is that of cosine. A first graph comes from random projections: along each of them the
 vectors are ordered, and those in one stretch of STRETCH are compared. Then rounds: every vector is shown to the others in the
 neighbourhoods it belongs to (its lists in both directions, at most twice K + SPARE of them, chosen by a hash), and a pair is kept
-where it is nearer than the farthest that one of them has. The rounds end when hardly a list changes. A round moves each vector
-about 2 (K + SPARE) times; no task holds more than a stretch or a neighbourhood, and the driver holds nothing.
+where it is nearer than the farthest that one of them has. The rounds end when hardly a list changes. Neighbourhoods are dealt
+into parts of about HUBS; a round moves each vector, as it stands in the table, once to each part with a neighbourhood of its own,
+2 (K + SPARE) + 1 times at most. A task holds the vectors of a part, and the driver holds nothing.
 
 Odd input: vectors that are null, empty, without length or not finite have no neighbours; ids must differ; all vectors are of one
 size; fewer than K others give shorter lists; equal distances go by id.
@@ -23,6 +24,8 @@ from brindle.sources.tables import forgotten, materialised
 
 #: Neighbours of a vector, those kept on the way besides, random projections, vectors of a stretch, most rounds, and the share of changed places that ends them.
 K, SPARE, PROJECTIONS, STRETCH, ROUNDS, SETTLED = 15, 15, 4, 64, 8, 0.01
+#: Neighbourhoods of a part, and pairs after which a task keeps the nearest.
+HUBS, MOST_FOUND = 32_768, 400_000
 _PAIR = "id long, other long, d double"
 
 
@@ -48,12 +51,20 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1)
 
 
+def _with_length(vectors: DataFrame) -> DataFrame:
+    """id, x (as it stands) and its length n, of the vectors (id, v) that have a length."""
+    length = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    rows = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", F.col("v").alias("x"), length.alias("n"))
+    return rows.where((F.col("n") > 0) & (F.col("n") < F.lit(float("inf"))))
+
+
+def _unit(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.transform(F.col("x").cast("array<double>"), lambda x: x / F.col("n")).alias("v"))
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """id and v of unit length, of the vectors (id, v) that have a length."""
-    v = F.col("v").cast("array<double>")
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", v.alias("v"), length.alias("n"))
-    return rows.where((F.col("n") > 0) & (F.col("n") < F.lit(float("inf")))).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return _unit(_with_length(vectors))
 
 
 def _projected(seed: int):  # noqa: ANN202
@@ -94,40 +105,70 @@ def _stretches(k: int):  # noqa: ANN202
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("d", "other")
-    return pairs.groupBy("id", "other").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # pairs move once, by id, for both the least of equal pairs and the ranks
+    return pairs.repartition("id").groupBy("id", "other").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each one's k nearest of pairs that may be equal, by distance and then id."""
+    ids, other, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((d, other, ids))
+    ids, other, d = ids[order], other[order], d[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (other[1:] != other[:-1])
+    ids, other, d = ids[new], other[new], d[new]
+    order = np.lexsort((other, d, ids))
+    ids, other, d = ids[order], other[order], d[order]
+    stay = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+    return ids[stay], other[stay], d[stay]
 
 
 def _met(k: int):  # noqa: ANN202
-    """Compares the members of each neighbourhood; rows come by hub."""
+    """Compares the members of each neighbourhood; rows come by part: a member once, with all of the part's hubs it is near to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, ids, vs, far = None, [], [], []
+        now, held = None, []
 
         def compared() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                found = _pairs(np.array(ids), np.stack(vs), k, np.array(far))
-                if len(found[0]):
-                    yield _out([found])
+            rows = pa.Table.from_batches(held)
+            ids, far, length = (rows.column(c).to_numpy() for c in ("id", "far", "n"))
+            x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            lists = rows.column("hubs").combine_chunks()
+            hub, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            order = np.lexsort((ids[row], hub))
+            hub, row = hub[order], row[order]
+            found, n = [], 0
+            for some in np.split(row, np.flatnonzero(np.diff(hub)) + 1):
+                if len(some) > 1:
+                    found.append(_pairs(ids[some], x[some].astype(np.float64) / length[some, None], k, far[some]))
+                    n += len(found[-1][0])
+                if n > MOST_FOUND:
+                    yield _out([_best(found, k)])
+                    found, n = [], 0
+            if n:
+                yield _out([_best(found, k)])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column("v"), batch.num_rows)
-            for i, (h, a, f) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("id").to_pylist(), batch.column("far").to_pylist(), strict=True)):
-                if h != hub:
+            parts = batch.column("part").to_numpy()
+            for lo, hi in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(parts)]))(np.flatnonzero(np.diff(parts)) + 1), strict=True):
+                if lo == hi:
+                    continue
+                if held and parts[lo] != now:
                     yield from compared()
-                    hub, ids, vs, far = h, [], [], []
-                ids.append(a)
-                vs.append(v[i])
-                far.append(f)
-        yield from compared()
+                    held.clear()
+                now = parts[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from compared()
 
     return run
 
 
 def graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """id, other, d, rank: the k nearest others of each vector (id, v), by the distance of their unit vectors."""
-    units, wanted, k = materialised(unit_vectors(vectors)), k, k + SPARE
+    rows, wanted, k = materialised(_with_length(vectors)), k, k + SPARE
+    units = _unit(rows)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // HUBS))
     first = None
     for p in range(PROJECTIONS):
         placed = units.mapInArrow(_projected(p), "id long, v array<double>, at double")
@@ -141,8 +182,11 @@ def graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
         members = both.distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * k).select("hub", "id").unionByName(units.select(F.col("id").alias("hub"), "id"))
         # a list that is not full takes any distance
         far = lists.groupBy("id").agg(F.when(F.count("*") >= k, F.max("d")).alias("far"))
-        known = units.join(far, "id", "left").select("id", "v", F.coalesce("far", F.lit(float("inf"))).alias("far"))
-        met = members.join(known, "id").repartition("hub").sortWithinPartitions("hub").mapInArrow(_met(k), _PAIR)
+        known = rows.join(far, "id", "left").select("id", "x", "n", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        # a vector goes to a part once, with all of the part's neighbourhoods that it belongs to
+        part = F.pmod(F.xxhash64("hub"), F.lit(parts)).cast("int").alias("part")
+        sent = members.repartition("id").groupBy("id", part).agg(F.collect_list("hub").alias("hubs")).join(known, "id")
+        met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met(k), _PAIR)
         merged = materialised(_nearest(lists.select("id", "other", "d").unionByName(met), k))
         changed = merged.join(lists.select("id", "other"), ["id", "other"], "left_anti").count()
         forgotten(lists)

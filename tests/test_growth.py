@@ -125,3 +125,22 @@ def test_sums_of_dealt_texts_move_no_row(spark, monkeypatch):
     same = lambda df: sorted(map(tuple, df.collect()))
     assert same(found) == same(S.fields_bm25(corpus, queries, ["title", "text"], lambda t: S.T.all_of(F.lower(t), "[a-z]{2,}")))
     assert not [x for x in _moves(found) if "query_id" in x]
+
+
+def test_a_vector_goes_once_to_a_part(spark, join_rows, monkeypatch):
+    from brindle.operators import neighbours as N
+
+    rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.pmod(F.hash("id", k), F.lit(1000)) / 500 - 1).cast("float")).alias("v"))
+    plain = sorted((r["id"], r["rank"], r["other"], r["d"]) for r in N.graph(rows).collect())
+    assert len(plain) == 300 * N.K
+    seen = []
+
+    def counted(df):
+        found, most = join_rows(df)
+        seen.append(most)
+        return spark.createDataFrame(found, df.schema)
+
+    monkeypatch.setattr(N, "materialised", counted)
+    monkeypatch.setattr(N, "MOST_FOUND", 500, raising=False)
+    assert sorted((r["id"], r["rank"], r["other"], r["d"]) for r in N.graph(rows).collect()) == plain
+    assert 0 < max(seen) <= 300 * spark.sparkContext.defaultParallelism
