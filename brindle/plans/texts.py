@@ -88,6 +88,21 @@ def keyword_names(spark, sf):  # noqa: ANN001, ANN201
 
 
 # ---- segmentation
+def _word_lists(spark, sf):  # noqa: ANN001, ANN202
+    """id and w, the distinct words of each document in order with blanks between, as written: texts are read once."""
+    return materialised(_docs(spark, sf).select("id", F.array_join(F.array_sort(T.words(F.col("text"))), " ").alias("w")))
+
+
+def _counted(lists):  # noqa: ANN001, ANN202
+    """The dictionary of written word lists."""
+    return lists.where("w <> ''").select(F.explode(F.split("w", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+
+
+def _two(sep):  # noqa: ANN001, ANN202
+    """The words of w by twos."""
+    return F.transform(T.all_of(F.col("w"), "[a-z]++ [a-z]++"), lambda x: F.replace(x, F.lit(" "), F.lit(sep)))
+
+
 _PATHS = """
 with recursive d as (select doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) as w from documents),
 f as (select w, count(*) as n from (select unnest(w) as w from d) group by 1),
@@ -104,13 +119,10 @@ s as (select run, trim(paths[1]) as words from p where i = 1)"""
 @query(_PATHS + " select id, sum(1 + length(words) - length(replace(words, ' ', '')))::bigint as n, count(*) filter (words = whole) as n_found, sha256(string_agg(words, ',' order by k)) as digest from r join s using (run) group by id")
 def segmented_words(spark, sf):  # noqa: ANN001, ANN201
     """Each document's words, by twos without the blank between, divided again by a dictionary of the whole table."""
-    d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w"))
-    dictionary = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    two = lambda sep: F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.concat(F.col("w")[2 * k], F.lit(sep), F.col("w")[2 * k + 1]))
-    runs = d.where(F.size("w") > 1).select(F.struct("id", two(" ").alias("whole")).alias("id"), two("").alias("runs"))
-    found = G.segmented_lists(runs, dictionary).select("id.id", "id.whole", F.transform("words", lambda x: F.array_join(x, " ")).alias("x"), F.size(F.flatten("words")).cast("long").alias("n"))
-    n_found = F.size(F.filter(F.arrays_zip("x", "whole"), lambda x: x["x"] == x["whole"])).cast("long")
-    return found.select("id", "n", n_found.alias("n_found"), F.sha2(F.array_join("x", ","), 256).alias("digest"))
+    d = _word_lists(spark, sf)
+    found = G.segmented_lists(d.where("contains(w, ' ')"), _counted(d), _two("")).withColumn("x", F.transform("words", lambda x: F.array_join(x, " ")))
+    n_found = F.size(F.filter(F.arrays_zip("x", _two(" ").alias("whole")), lambda x: x["x"] == x["whole"])).cast("long")
+    return found.select("id", F.size(F.flatten("words")).cast("long").alias("n"), n_found.alias("n_found"), F.sha2(F.array_join("x", ","), 256).alias("digest"))
 
 
 _ASKED = "regexp_extract_all(lower(text), '[a-z]{2,}')"

@@ -112,3 +112,36 @@ def test_lists_of_runs(spark, dictionary, monkeypatch):
     assert {r["id"]: r["words"] for r in by_table.collect()} == want
     monkeypatch.setattr(G, "MOST_WORDS", 3)
     assert {r["id"]: r["words"] for r in G.segmented_lists(lists, dictionary).collect()} == want
+
+
+def test_few_parts_of_a_large_dictionary_move(spark, monkeypatch):
+    words = [f"{a}{b}{c}" for a in ("ka", "to", "mi", "ren", "sul") for b in ("da", "vel", "o", "pri") for c in ("n", "sta", "lum")]
+    dictionary = spark.createDataFrame([(w, 1 + 7 * (k % 9 == 0)) for k, w in enumerate(words)], "word string, freq long")
+    r = random.Random(5)
+    lists = spark.createDataFrame([(k, ["".join(r.choices(words, k=2)) for _ in range(20)] + ["".join(r.choices(words, k=40))]) for k in range(40)] + [(None, ["kadanx"])], "id long, runs array<string>")
+    rows = lambda df: {x["id"]: x["words"] for x in df.collect()}
+    want = rows(G.segmented_lists(lists, dictionary))
+    assert all("".join(w) == run for x in lists.collect() for run, w in zip(x["runs"], want[x["id"]], strict=True)) and want[None] == [["kadan", "x"]]
+    monkeypatch.setattr(G, "MOST_WORDS", 30)
+    found = G.segmented_lists(lists, dictionary)
+    assert rows(found) == want
+    # what is joined are parts that are words: no row for each part of a run, and none for each run
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "posexplode" not in plan
+    lexicon = G.Lexicon(dictionary)
+    parts = lists.select("id", F.explode(G._parts(lexicon.filter, G._pieces_of_lists)(F.col("runs"))).alias("word")).collect()
+    assert {x["word"] for x in parts} <= set(words) and 0 < len(parts) < 40 * 80 and lexicon.further.count() == 30
+
+
+def test_parts_with_a_words_hash_are_no_words(spark, dictionary, monkeypatch):
+    monkeypatch.setattr(G, "SEEDS", [1])  # sums of letters: words of the same letters have one hash
+    table = G.prefixes(dictionary)
+    runs = ["网滤清洁", "滤网衣洗", "管水排洗衣机", "清洁滤网"]
+    frame = spark.createDataFrame([(x,) for x in runs], "run string")
+    found = {x["run"]: list(x["words"]) for x in G.segmented_runs(frame, dictionary, table).collect()}
+    assert found == {x: all_paths(x) for x in runs}
+    twice = spark.createDataFrame([("ab", 1), ("ba", 2)], "word string, freq long")
+    monkeypatch.setattr(G, "SEEDS", [1, 0x9E3779B97F4A7C15])  # another multiplier parts them
+    for most in (9, 1):
+        monkeypatch.setattr(G, "MOST_WORDS", most)
+        assert G.segmented_runs(spark.createDataFrame([("abba",)], "run string"), twice).first()["words"] == ["ab", "ba"]
