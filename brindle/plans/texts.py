@@ -138,13 +138,11 @@ select query_id, id, score, row_number() over (partition by query_id order by sc
 )
 def search_bm25_segmented(spark, sf):  # noqa: ANN001, ANN201
     """Search over texts whose words stand by twos without the blank between, divided by the dictionary of the whole table."""
-    d = _docs(spark, sf).select("id", F.array_sort(T.words(F.col("text"))).alias("w")).where("size(w) > 1")
-    every = _docs(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
-    dictionary = materialised(every.groupBy("word").agg(F.count("*").alias("freq")))  # read for documents and for queries
-    two = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda k: F.concat(F.col("w")[2 * k], F.col("w")[2 * k + 1]))
+    d = _word_lists(spark, sf)
+    dictionary = G.Lexicon(_counted(d))  # for documents and for queries
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(T.words(F.col("text")), " ").alias("text"))
     divided = lambda texts: G.segmented_texts(texts, dictionary, "[a-z]{2,}").select("id", F.array_join("words", " ").alias("text"))
-    return S.bm25(divided(d.select("id", F.array_join(two, " ").alias("text"))), divided(asked).withColumnRenamed("id", "query_id"), tokens=lambda t: F.array_distinct(F.split(t, " ")))
+    return S.bm25(divided(d.where("contains(w, ' ')").select("id", F.array_join(_two(""), " ").alias("text"))), divided(asked).withColumnRenamed("id", "query_id"), tokens=lambda t: F.array_distinct(F.split(t, " ")))
 
 
 # ---- pieces

@@ -145,3 +145,14 @@ def test_parts_with_a_words_hash_are_no_words(spark, dictionary, monkeypatch):
     for most in (9, 1):
         monkeypatch.setattr(G, "MOST_WORDS", most)
         assert G.segmented_runs(spark.createDataFrame([("abba",)], "run string"), twice).first()["words"] == ["ab", "ba"]
+
+
+def test_texts_of_a_large_dictionary_stay_whole(spark, dictionary, monkeypatch):
+    texts = spark.createDataFrame([(k, f"清洁滤网{k} 洗衣机排水管 door") for k in range(30)], "id long, text string")
+    rows = lambda df: {r["id"]: r["words"] for r in df.collect()}
+    want = rows(G.segmented_texts(texts, dictionary))
+    monkeypatch.setattr(G, "MOST_WORDS", 4)
+    lexicon = G.Lexicon(dictionary)  # made once, for texts and for queries
+    found = G.segmented_texts(texts, lexicon)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == want == rows(G.segmented_texts(texts, dictionary)) and "posexplode" not in plan and "sequence" not in plan
